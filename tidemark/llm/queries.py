@@ -1,7 +1,8 @@
 """The operators' queries over whole tables, and SQL for those that SQL can express."""
 
+from .bpe import op8_byte_bpe
 from .exact_dedup import op3_exact_dedup
 from .quality_rules import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_byte_bpe, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
