@@ -103,3 +103,30 @@ def anti_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not among ``ids``; what the bit map excludes passes without a shuffle."""
     marked = _marked(df, ids, key)
     return marked.filter("not _near").drop("_near").unionByName(marked.filter("_near").drop("_near").join(ids.select(key), key, "left_anti").select(df.columns))
+
+
+def map_texts(df: DataFrame, key: str, text: str, schema: str, rows, types) -> DataFrame:
+    """``key`` and, from ``rows(texts)``, one tuple of new columns for each text of an Arrow batch; null is empty text."""
+    import pyarrow as pa
+
+    names = [key, *(x.split()[0] for x in schema.split(","))]
+
+    def run(batches):
+        for batch in batches:
+            made = list(rows([t or "" for t in batch.column(1).to_pylist()]))
+            columns = zip(*made, strict=True) if made else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names)
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {schema}")
+
+
+def sample_texts(docs: DataFrame, doc_id: str, text: str, most: int) -> list[str]:
+    """At most ``most`` texts, for training: those whose doc_id hashes lowest, so any run takes the same."""
+    ids = docs.select(doc_id).filter(F.col(doc_id).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id).limit(most)
+    return [r[0] for r in docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(ids), doc_id, "left_semi").select(text).limit(2 * most).collect()]
+
+
+def span_text(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
+    """(start, kind's number, end) in order, as kind:start:end joined by commas."""
+    return ",".join([f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans)])

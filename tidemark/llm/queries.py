@@ -2,7 +2,9 @@
 
 from .bpe import op8_byte_bpe
 from .exact_dedup import op3_exact_dedup
+from .pii import op6_pii_scan
 from .quality_rules import op10_quality_rules
+from .secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op6_pii_scan, op8_byte_bpe, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
