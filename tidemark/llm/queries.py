@@ -2,9 +2,11 @@
 
 from .bpe import op8_byte_bpe
 from .exact_dedup import op3_exact_dedup
+from .html_text import op7_html_text
 from .pii import op6_pii_scan
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op6_pii_scan, op8_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op6_pii_scan, op7_html_text, op8_byte_bpe, op9_quality_classifier, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
