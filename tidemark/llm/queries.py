@@ -3,10 +3,18 @@
 from .bpe import op8_byte_bpe
 from .exact_dedup import op3_exact_dedup
 from .html_text import op7_html_text
+from .mixing import ORACLE as MIXING
+from .mixing import op4_mixing
 from .pii import op6_pii_scan
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op6_pii_scan, op7_html_text, op8_byte_bpe, op9_quality_classifier, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_mixing, op6_pii_scan, op7_html_text, op8_byte_bpe, op9_quality_classifier, op10_quality_rules)}
+
+#: Words are runs of other characters than ASCII white space, here and in the operators.
+EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) WINDOW g AS (PARTITION BY t)"""
+
+ORACLES: dict[str, str] = {"op3_exact_dedup": EXACT_DEDUP, "op4_mixing": MIXING}
