@@ -93,10 +93,15 @@ def _marked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return marked.withColumn("_byte", byte).select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(bit, F.lit(False)).alias("_near"))
 
 
+def may_match(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` that the bit map of the ids lets through: all whose key is among them, few others
+    unless there are very many ids. A join that follows shuffles only these."""
+    return _marked(df, ids, key).filter("_near").drop("_near")
+
+
 def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is among ``ids`` (null: never). Rows that the bit map excludes are
-    not shuffled; when there are too many ids it excludes little, and the exact join does the rest."""
-    return _marked(df, ids, key).filter("_near").drop("_near").join(ids.select(key), key, "left_semi")
+    """Rows of ``df`` whose ``key`` is among ``ids`` (null: never)."""
+    return may_match(df, ids, key).join(ids.select(key), key, "left_semi")
 
 
 def anti_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
