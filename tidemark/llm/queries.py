@@ -3,6 +3,7 @@
 from .bpe import op8_byte_bpe
 from .exact_dedup import op3_exact_dedup
 from .html_text import op7_html_text
+from .licenses import op2_license_scan
 from .minhash import op5_minhash_dedup
 from .mixing import ORACLE as MIXING
 from .mixing import op4_mixing
@@ -11,7 +12,7 @@ from .quality_classifier import op9_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_mixing, op5_minhash_dedup, op6_pii_scan, op7_html_text, op8_byte_bpe, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_exact_dedup, op4_mixing, op5_minhash_dedup, op6_pii_scan, op7_html_text, op8_byte_bpe, op9_quality_classifier, op10_quality_rules)}
 
 #: Words are runs of other characters than ASCII white space, here and in the operators.
 EXACT_DEDUP = """
