@@ -19,10 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import Staging, anti_join, ascii_lower, documents, hot_safe_join, semi_join
+from tidemark.storage import Staging
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+from .common import anti_join, ascii_lower, documents, hot_safe_join, semi_join
+
+#: State lives on disk, and a store's local files go as soon as its task has committed them: each
+#: store sets some megabytes aside, which adds up where one executor has served many of them.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 #: Fingerprints read in one micro-batch, so that state grows by bounded steps.
 BATCH_BYTES = 16 << 30
 
@@ -56,8 +62,9 @@ def run_state(stage: Staging, prints: DataFrame, label: str = "prints") -> DataF
     keepers only grow, a digest's newest state is its largest.
     """
     spark = stage.spark
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         state = (
             spark.readStream.schema(prints.schema)
@@ -73,7 +80,8 @@ def run_state(stage: Staging, prints: DataFrame, label: str = "prints") -> DataF
         query = state.writeStream.outputMode("update").option("checkpointLocation", stage.path(f"{label}-checkpoint")).foreachBatch(write).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     if not _exists(stage, f"{label}-state"):
         return spark.createDataFrame([], state.schema)
     changes = spark.read.schema(state.schema).parquet(stage.path(f"{label}-state"))
