@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import Staging, shared_dir
+
+__all__ = ["Staging", "shared_dir"]
+
 #: Words are runs of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,44 +18,6 @@ HOT_SHARE = 1000
 FILTER_BITS = 1 << 25
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a local one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-class Staging:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation and lineage is cut."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def path(self, label: str) -> str:
-        return f"{self.base}/{label}"
-
-    def table(self, df: DataFrame, label: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(label))
-        return self.read(label, df.schema)
-
-    def read(self, label: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.path(label))
-
-    def drop(self, label: str | None = None) -> None:
-        """Deletes one table, or at the end of the process all of them."""
-        with contextlib.suppress(Exception):
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.path(label) if label else self.base)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z only in lower case. lower() does just that to ASCII text, and runs over bytes."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

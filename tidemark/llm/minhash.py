@@ -30,8 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staging, anti_join, documents, hot_safe_join, map_texts, may_match
-from .components import connected
+from tidemark.operators.components import connected
+from tidemark.storage import Staging
+
+from .common import anti_join, documents, hot_safe_join, map_texts, may_match
 
 HASHES, MISS = 256, 1e-5
 #: A block has this many documents, or shingles, on average at most.
@@ -181,13 +183,20 @@ class Block:
 
 
 def resolve(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (u, v) within each block. ``members``: the keys, rid, label, asks, signature, shingles."""
+    """Links (u, v) of each block. ``members``: the keys, rid, label, asks, signature, shingles. Where some ask, they are
+    linked with the others; else all are linked, each with the smallest that it is connected with in its block."""
 
     def links(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         t = pa.Table.from_batches(parts)
         asks = t["asks"].to_numpy(zero_copy_only=False)
         block = Block(t["rid"].to_numpy(), t["label"].to_numpy(), t["signature"].to_pylist(), t["shingles"].to_pylist(), percent)
-        return block.across(asks) if asks.any() else block.within()
+        if asks.any():
+            return block.across(asks)
+        block.within()
+        least: dict[int, int] = {}
+        for rid, label in sorted(zip(block.ids.tolist(), block.label.tolist(), strict=True)):
+            least.setdefault(label, rid)
+        return [(rid, least[label]) for rid, label in zip(block.ids.tolist(), block.label.tolist(), strict=True) if rid != least[label]]
 
     def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
@@ -263,10 +272,13 @@ def _links(stage: Staging, docs: DataFrame, reps: DataFrame, k: int, percent: in
     if shape.filter("blocks > 1").isEmpty():
         return found
     others = F.sequence(F.lit(1), F.col("blocks") - 1)
-    marked = _labelled(stage, large, found, "one")
+    marked = _labelled(stage, large, found.select(F.col("u").alias("rid"), F.col("v").alias("label")), "one")
     lead = marked.filter("blk = 0").withColumn("blk", F.explode(others)).withColumn("asks", F.lit(True))
-    found = found.unionByName(stage.table(resolve(marked.filter("blk > 0").unionByName(lead), ["gid", "blk"], percent), "links-2"))
-    marked = _labelled(stage, large, found, "two")
+    more = stage.table(resolve(marked.filter("blk > 0").unionByName(lead), ["gid", "blk"], percent), "links-2")
+    found = found.unionByName(more)
+    # only blocks' links can meet those of the lead: links of groups of one block need no further look
+    joint = found.join(large.select(F.col("rid").alias("u")).distinct(), "u", "left_semi").select("u", "v")
+    marked = _labelled(stage, large, connected(stage, joint, "two").select(F.col("node").alias("rid"), F.col("component").alias("label")), "two")
     counts = marked.groupBy("gid", "label").agg(F.count("*").alias("c"))
     largest = counts.groupBy("gid").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
     largest = stage.table(largest.select("gid", "size", F.col("top.label").alias("top"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK_DOCS).cast("int").alias("parts")).filter("parts > 0"), "largest")
@@ -277,9 +289,8 @@ def _links(stage: Staging, docs: DataFrame, reps: DataFrame, k: int, percent: in
     return found.unionByName(stage.table(resolve(answers.unionByName(asks), ["gid", "blk", "part"], percent), "links-3"))
 
 
-def _labelled(stage: Staging, member: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """Adds each member's component by the links so far."""
-    parts = stage.table(connected(stage, links, name).select(F.col("node").alias("rid"), F.col("component").alias("label")), f"{name}-labels")
+def _labelled(stage: Staging, member: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """Adds each member's component, ``parts`` (rid, label), or itself where it has none."""
     out = member.join(parts, "rid", "left").withColumn("label", F.coalesce("label", "rid")).withColumn("asks", F.lit(False))
     return stage.table(out, f"{name}-marked")
 

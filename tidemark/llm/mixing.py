@@ -18,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Staging, documents, hot_safe_join, words
+from tidemark.storage import Staging
+
+from .common import documents, hot_safe_join, words
 from .exact_dedup import locator
 
 #: Weights of the query and the pipeline by path; children that are not named weigh 1.

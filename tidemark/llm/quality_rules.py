@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Staging, documents, hot_safe_join, words
+from tidemark.storage import Staging
+
+from .common import SPACE, documents, hot_safe_join, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
