@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_CASE = Window.partitionBy("case_id").orderBy("pos")
+def _case():
+    return Window.partitionBy("case_id").orderBy("pos")
+
 
 
 def total_order(log: DataFrame) -> DataFrame:
     """Steps between consecutive positions of a case."""
-    after = F.lead(F.struct("pos", "act", "res", "us")).over(_CASE)
+    after = F.lead(F.struct("pos", "act", "res", "us")).over(_case())
     return log.withColumn("j", after).filter("j is not null").select("case_id", F.col("pos").alias("pos_i"), F.col("j.pos").alias("pos_j"), F.col("act").alias("a_i"), F.col("j.act").alias("a_j"), F.col("res").alias("r_i"), F.col("j.res").alias("r_j"), F.col("us").alias("us_i"), F.col("j.us").alias("us_j"))
 
 
 def tie_classes(log: DataFrame) -> DataFrame:
     """Adds ``tie``: consecutive events of a case at one time share a class, numbered in order."""
-    changed = F.coalesce((F.col("us") != F.lag("us").over(_CASE)).cast("int"), F.lit(0))
-    return log.withColumn("_new", changed).withColumn("tie", F.sum("_new").over(_CASE)).drop("_new")
+    changed = F.coalesce((F.col("us") != F.lag("us").over(_case())).cast("int"), F.lit(0))
+    return log.withColumn("_new", changed).withColumn("tie", F.sum("_new").over(_case())).drop("_new")
 
 
 def partial_order(log: DataFrame) -> DataFrame:
