@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import Staging
+
 KINDS = ("aa", "ss", "as", "rr", "ar", "rs")
 PAIR = ["x1", "x2", "y1", "y2"]
 
@@ -63,8 +65,11 @@ def raw_links(kind: str, log: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def links(log: DataFrame, steps: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Links of all kinds, each kind divided by its largest, rounded so that equal links are equal numbers."""
-    raw = reduce(DataFrame.unionByName, [raw_links(k, log, steps) for k in kinds])
+    """Links of all kinds, each kind divided by its largest, rounded so that equal links are equal numbers.
+
+    Raw links, few beside the events, are staged: they are read for their largest and again to be divided.
+    """
+    raw = Staging(log.sparkSession, "links").table(reduce(DataFrame.unionByName, [raw_links(k, log, steps) for k in kinds]), "raw")
     top = raw.groupBy("kind").agg(F.max("weight").alias("top"))
     return raw.join(F.broadcast(top), "kind").withColumn("weight", F.round(F.col("weight") / F.col("top"), 9)).drop("top")
 

@@ -11,6 +11,7 @@ from tidemark.functions.sets import contains_run, jaccard
 from tidemark.functions.units import unit_number
 from tidemark.operators import cascade, detect, features, hl_log, link, overlap, paths, stats, steps, windows
 from tidemark.sources import logs
+from tidemark.storage import Staging
 
 from . import sql
 from .analyses import Prepared
@@ -51,8 +52,6 @@ def _values(spark: SparkSession, sf_dir: str, chosen: tuple[str, ...]) -> DataFr
 
 
 def _hles(spark: SparkSession, sf_dir: str, chosen: tuple[str, ...], by: str = "type", traffic: tuple[str, ...] = ("High",)) -> DataFrame:
-    from tidemark.storage import Staging
-
     values = Staging(spark, "values").table(_values(spark, sf_dir, chosen), "values")
     return Staging(spark, "hles").table(detect.detect(values, detect.thresholds(values, 0.9, by), traffic, by), "hles")
 
@@ -259,7 +258,7 @@ def hle_low(spark, sf_dir):
 )
 def hle_low_zeros(spark, sf_dir):
     p = _day(spark, sf_dir)
-    values = features.values(features.LOG_FEATURES, p.log, p.steps, p.frame)
+    values = Staging(spark, "values").table(features.values(features.LOG_FEATURES, p.log, p.steps, p.frame), "values")
     return detect.low_zeros(values, detect.thresholds(values, 0.9), p.frame.borders(spark)).select(*KEYS[:-1], "value")
 
 
@@ -359,8 +358,6 @@ def hle_spread(spark, sf_dir):
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from tidemark.storage import Staging
-
     p, found = _day(spark, sf_dir), _hles(spark, sf_dir, features.PATH_FEATURES)
     stage = Staging(spark, "overlaps")
     cases = stage.table(detect.case_sets(found, features.all_instances(features.PATH_FEATURES, p.log, p.steps, p.frame)), "cases")
