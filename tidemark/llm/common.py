@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tidemark.storage import Staging, shared_dir
 
@@ -27,6 +28,25 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE), lambda w: w != "")
 
 
+def locator(docs: DataFrame) -> Column:
+    """File and row of the content where the rows come straight from files, else a number given on reading."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """The same rows with locators that last: rows that don't come straight from files are written first."""
+    return docs if "_metadata" in str(locator(docs)) else Staging(docs.sparkSession, "input").table(docs, "docs")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, whatever its columns are named, beside its locator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), locator(docs).alias("_locator"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

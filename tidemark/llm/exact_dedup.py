@@ -17,11 +17,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.storage import Staging
 
-from .common import anti_join, ascii_lower, documents, hot_safe_join, semi_join
+from .common import anti_join, ascii_lower, documents, hot_safe_join, located, locator, packed, semi_join
 
 #: State lives on disk, and a store's local files go as soon as its task has committed them: each
 #: store sets some megabytes aside, which adds up where one executor has served many of them.
@@ -41,15 +40,6 @@ def normal_text(c: Column) -> Column:
     return ascii_lower(F.coalesce(c, F.lit("")))
 
 
-def locator(docs: DataFrame) -> Column:
-    """File and row of the content where the rows come straight from files, else a number given on reading."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:
-        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-
-
 def fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = sha256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), digest(normal_text(F.col(text))).alias("digest"), locator(docs).alias("locator"))
 
@@ -104,9 +94,9 @@ def collisions(docs: DataFrame, prints: DataFrame, groups: DataFrame, digest: Ca
     return compare(texts.join(F.broadcast(hot.select("digest")), "digest", "left_semi")).unionByName(compare(rest))
 
 
-def find(docs: DataFrame, digest: Callable[[Column], Column] = sha256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, digest: Callable[[Column], Column] = sha256, doc_id: str = "doc_id", text: str = "text", stage: Staging | None = None) -> DataFrame:
     """One row per document: doc_id, locator, digest, keep_id, group_size, kept, checked on full bytes."""
-    stage = Staging(docs.sparkSession, "dedup")
+    stage = stage or Staging(docs.sparkSession, "dedup")
     prints = stage.table(fingerprints(docs, digest, doc_id, text), "prints")
     groups = stage.table(run_state(stage, prints), "groups")
     total = groups.agg(F.sum("group_size")).first()[0] or 0
@@ -125,12 +115,11 @@ def find(docs: DataFrame, digest: Callable[[Column], Column] = sha256, doc_id: s
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, in the input's columns: rows of files are found again by their locator."""
-    if "_metadata" not in str(locator(docs)):
-        docs = Staging(docs.sparkSession, "input").table(docs, "docs")
-    gone = find(docs, doc_id=doc_id, text=text).filter("not kept").select(F.col("locator").alias("_locator"))
+    docs, stage = located(docs), Staging(docs.sparkSession, "dedup")
+    gone = find(docs, doc_id=doc_id, text=text, stage=stage).filter("not kept").select(F.col("locator").alias("_locator"))
     gone = Staging(docs.sparkSession, "dropped").table(gone, "rows")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), locator(docs).alias("_locator"))
-    return anti_join(packed, gone, "_locator").select("_row.*")
+    stage.drop()
+    return anti_join(packed(docs), gone, "_locator").select("_row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,9 +223,9 @@ def resolve(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return ordered.repartition(*keys).sortWithinPartitions(*keys, "rid").mapInArrow(run, "u bigint, v bigint")
 
 
-def find(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", stage: Staging | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is connected with), kept."""
-    stage = Staging(docs.sparkSession, "minhash")
+    stage = stage or Staging(docs.sparkSession, "minhash")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stage.table(sign(docs, k, percent, "doc_id", "text"), "signed")
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
@@ -297,9 +297,12 @@ def _labelled(stage: Staging, member: DataFrame, parts: DataFrame, name: str) ->
 
 def keep(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows without those of the documents that are not kept: the smallest doc_id of each component stays."""
-    gone = Staging(docs.sparkSession, "dropped").table(find(docs, k, percent, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_id")), "ids")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_id"))
-    return anti_join(packed, gone, "_id").select("_row.*")
+    stage = Staging(docs.sparkSession, "minhash")
+    gone = find(docs, k, percent, doc_id, text, stage).filter("not kept").select(F.col("doc_id").alias("_id"))
+    gone = Staging(docs.sparkSession, "dropped").table(gone, "ids")
+    stage.drop()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_id"))
+    return anti_join(rows, gone, "_id").select("_row.*")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

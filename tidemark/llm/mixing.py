@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import Staging
 
-from .common import documents, hot_safe_join, words
-from .exact_dedup import locator
+from .common import anti_join, documents, hot_safe_join, located, locator, may_match, packed, words
 
 #: Weights of the query and the pipeline by path; children that are not named weigh 1.
 WEIGHTS = {"domain0": 4.0, "domain1": 2.0, "domain0/en": 3.0, "domain0/de": 2.0, "domain1/en": 2.0, "domain2/en": 2.0, "domain3/fr": 2.0}
@@ -64,13 +63,13 @@ def budgets(leaves: DataFrame, budget: float, weights: dict[str, float]) -> Data
     return above.select("path", "n_docs", "tokens", "capacity", "weight", F.floor("budget").alias("budget"))
 
 
-def mix(docs: DataFrame, tree: tuple[Column, Column, Column] | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, weights: dict[str, float] | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, tree: tuple[Column, Column, Column] | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, weights: dict[str, float] | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", stage: Staging | None = None) -> DataFrame:
     """One row for each document and epoch that is chosen: doc_id, locator, path, epoch, n_tokens.
 
     The budget is ``budget_share`` of all tokens. ``tree`` gives the three levels' columns, by default
     a domain of the source, lang and source.
     """
-    stage = Staging(docs.sparkSession, "mixing")
+    stage = stage or Staging(docs.sparkSession, "mixing")
     weights = WEIGHTS if weights is None else weights
     levels = tree or (domain_of(F.col("source")), F.col("lang"), F.col("source"))
     name = [F.coalesce(c.cast("string"), F.lit("null")) for c in levels]
@@ -102,13 +101,21 @@ def mix(docs: DataFrame, tree: tuple[Column, Column, Column] | None = None, budg
 
 
 def keep(docs: DataFrame, budget_share: float = 0.9, max_epochs: int = 1, **more) -> DataFrame:
-    """The chosen documents in the input's columns, once for each epoch."""
-    if "_metadata" not in str(locator(docs)):
-        docs = Staging(docs.sparkSession, "input").table(docs, "docs")
-    stage = Staging(docs.sparkSession, "mixed")
-    chosen = stage.table(mix(docs, budget_share=budget_share, max_epochs=max_epochs, **more).select(F.col("locator").alias("_locator"), "epoch"), "chosen")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), locator(docs).alias("_locator"))
-    return packed.join(chosen, "_locator").select("_row.*")
+    """The chosen documents in the input's columns, once for each epoch.
+
+    Text is not shuffled for rows that are chosen once: those that are not chosen are taken out, and those
+    of several epochs, found by the bit map of their locators, are added again.
+    """
+    docs, stage = located(docs), Staging(docs.sparkSession, "mixing")
+    times = mix(docs, budget_share=budget_share, max_epochs=max_epochs, stage=stage, **more).groupBy(F.col("locator").alias("_locator")).agg(F.count("*").alias("_times"))
+    kept = Staging(docs.sparkSession, "mixed")
+    times = kept.table(times, "times")
+    gone = kept.table(docs.select(locator(docs).alias("_locator")).join(times, "_locator", "left_anti"), "gone")
+    again = kept.table(times.filter("_times > 1"), "again")
+    stage.drop()
+    rows = packed(docs)
+    extra = may_match(rows, again, "_locator").join(again, "_locator").select("_row", F.explode(F.sequence(F.lit(2), F.col("_times").cast("int"))))
+    return anti_join(rows, gone, "_locator").select("_row.*").unionByName(extra.select("_row.*"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

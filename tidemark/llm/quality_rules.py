@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import Staging
 
-from .common import SPACE, documents, hot_safe_join, words
+from .common import SPACE, anti_join, documents, hot_safe_join, located, locator, packed, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -95,13 +95,13 @@ def hosts(measured: DataFrame, host: str = "source") -> DataFrame:
     return counts.withColumn("shrunk_rate", (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))).withColumn("verdict", F.when(shrunk >= REJECT_RATE, "rejected").when(shrunk >= SUSPECT_RATE, "suspect").otherwise("trusted"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", stage: Staging | None = None) -> DataFrame:
     """The input's rows and columns but for the text, with all counts, shrunk_rate, host_verdict and kept.
 
     Columns of the input that are named like results are replaced. The measures are staged without
     the text; text is never shuffled.
     """
-    stage = Staging(docs.sparkSession, "rules")
+    stage = stage or Staging(docs.sparkSession, "rules")
     slim = stage.table(measure(docs, text).withColumn("_host", _host(F.col(host))).drop(text), "measured")
     verdicts = stage.table(hosts(slim, "_host"), "hosts").select(F.col("host").alias("_host"), F.col("n_docs").alias("_n"), F.col("shrunk_rate"), F.col("verdict").alias("host_verdict"))
     total = verdicts.agg(F.sum("_n")).first()[0] or 0
@@ -110,13 +110,14 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that are kept, in their own columns, whatever these are named."""
-    stage = Staging(docs.sparkSession, "rules")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"), _host(F.col(host)).alias("_host"))
-    full = stage.table(measure(packed).drop("text"), "measured")
-    verdicts = stage.table(hosts(full.drop("_row"), "_host"), "hosts").select(F.col("host").alias("_host"), F.col("n_docs").alias("_n"), F.col("verdict").alias("host_verdict"))
-    total = verdicts.agg(F.sum("_n")).first()[0] or 0
-    return hot_safe_join(full, verdicts, "_host", F.col("_n"), total).filter(_kept(F.col("host_verdict"))).select("_row.*")
+    """The documents that are kept, in their own columns, whatever these are named. Rows are judged without
+    their text, and those that go are taken out by locator."""
+    docs, stage = located(docs), Staging(docs.sparkSession, "rules")
+    rows = docs.select(locator(docs).alias("_locator"), F.col(text).alias("text"), F.col(host).alias("source"))
+    gone = judge(rows, stage=stage).filter("not kept").select("_locator")
+    gone = Staging(docs.sparkSession, "dropped").table(gone, "rows")
+    stage.drop()
+    return anti_join(packed(docs), gone, "_locator").select("_row.*")
 
 
 def _host(c: Column) -> Column:
