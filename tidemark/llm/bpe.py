@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Pieces kept by a worker, and the longest that is kept.
-CACHE_PIECES, CACHE_CHARS = 600_000, 48
+#: Pieces kept during a task, and the longest that is kept. They go with the task: idle workers hold none.
+CACHE_PIECES, CACHE_CHARS = 300_000, 48
 #: All characters that str.split() takes as white space.
 _BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -133,14 +133,17 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _mapped(df: DataFrame, schema: str, row: Callable) -> DataFrame:
+def _mapped(df: DataFrame, schema: str, row: Callable, path: str, pattern: str) -> DataFrame:
     """``row(texts)`` yields the new columns for each text of a batch; the first column goes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            columns = list(zip(*row(texts), strict=True)) if texts else [[] for _ in out[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, out[1:], strict=True))], names)
+        try:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                columns = list(zip(*row(texts), strict=True)) if texts else [[] for _ in out[1:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, out[1:], strict=True))], names)
+        finally:
+            codec(path, pattern).known = {}
 
     fields = [x.split() for x in schema.split(",")]
     names = [df.columns[0], *(n for n, _ in fields)]
@@ -158,13 +161,13 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             ids, spans = codec(path, pattern).offsets(t)
             yield ids, [a for a, _ in spans], [b for _, b in spans]
 
-    return _mapped(docs.select(doc_id, text), "ids array<int>, starts array<int>, ends array<int>", row)
+    return _mapped(docs.select(doc_id, text), "ids array<int>, starts array<int>, ends array<int>", row, path, pattern)
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and text; bytes that form no character become U+FFFD. Null ids give empty text."""
     path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
-    return _mapped(encoded.select(doc_id, ids), "text string", lambda rows: ((codec(path, pattern).decode(list(x)),) for x in rows))
+    return _mapped(encoded.select(doc_id, ids), "text string", lambda rows: ((codec(path, pattern).decode(list(x)),) for x in rows), path, pattern)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -176,7 +179,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
             n = sum([k for k, _, _ in parts])
             yield n, hashlib.sha256(b",".join([x for _, x, _ in parts])).hexdigest(), hashlib.sha256(b"".join([x for _, _, x in parts])).hexdigest()
 
-    return _mapped(docs.select(doc_id, text), "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _mapped(docs.select(doc_id, text), "n_tokens long, ids_sha256 string, decoded_sha256 string", row, path, pattern)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
