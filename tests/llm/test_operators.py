@@ -122,6 +122,56 @@ def test_licences_by_line_and_whole(spark):
     assert got[1] == "1:MIT" and got[3] == "0:MIT" and got[4] == "" and got[2].startswith("-1:MIT-notice")
 
 
+def test_licences_in_windows(spark):
+    """Wrapped, in prose, inside of longer documents; neither near misses nor lines that match are found again."""
+    import textwrap
+
+    from tidemark.llm.license_texts import TEXTS
+
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 70))
+    apache, mit = wrap(licenses.TEMPLATES["Apache-2.0-notice"]), wrap(TEXTS["MIT-text"])
+    rows = [
+        (1, f"{PROSE}\n{mit}\nNow {PROSE}"),
+        (2, f"{PROSE}\n{apache}\nNow {PROSE}\n{PROSE}"),
+        (3, "This package is Released under the MIT License. See the docs for more."),
+        (4, "We met under the old licence tree; the MIT campus has software, free of charge, and a notice."),
+        (5, f"{PROSE}\nReleased under the MIT License.\n{PROSE}"),
+        (6, wrap(f"{PROSE} {TEXTS['BSD-2-Clause-text']} {PROSE}")),
+        (7, wrap(f"{PROSE} {TEXTS['BSD-3-Clause-text']} {PROSE} {TEXTS['BSD-3-Clause-text']}")),
+        (8, wrap(f"{PROSE} {LONG[:3000]} {TEXTS['GPL-3.0-text']} {LONG[:3000]}")),
+    ]
+    got = {r.doc_id: (r.n_units, r.matches, r.best_dice) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = mit.count("\n") + 1
+    assert got[1] == (1, f"1-{n}:MIT-text", 1.0)
+    assert got[2][1] == f"1:Apache-2.0,1-{apache.count(chr(10)) + 1}:Apache-2.0-notice"
+    assert got[3] == (1, "0:MIT", 1.0) and got[4] == (0, "", 0.0) and got[5] == (1, "1:MIT", 1.0)
+    assert [re.sub(r"[0-9]+-[0-9]+:", "", got[i][1]) for i in (6, 7, 8)] == ["BSD-2-Clause-text", "BSD-3-Clause-text,BSD-3-Clause-text", "GPL-3.0-text"]
+
+
+def test_licence_windows_equal_brute_force(spark):
+    """One template's windows by trying all of them."""
+    rng, name = random.Random(6), "a b c d a b e f g h a b c".split()
+    made = [rng.choices("abcdefghxy", k=5) + list("abcd") + rng.choices("abefgh", k=rng.randint(0, 6)) + list("fghabc") + rng.choices("abcx", k=9) for _ in range(300)]
+    t, longest = licenses.bigrams(name), (len(name) - 1) * 3 // 2
+    some = 0
+    df = spark.createDataFrame([(i, "\n".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    for r in licenses.scan(df, {"t": " ".join(name)}).collect():
+        b = [" ".join(x) for x in zip(made[r.doc_id], made[r.doc_id][1:], strict=False)]
+        dice = lambda s, e: 2 * len(t & set(b[s : e + 1])) / (len(set(b[s : e + 1])) + len(t))  # noqa: E731, B023
+        found = []
+        for s in (s for s in range(len(b)) if b[s] in t):
+            d, _, e = max((dice(s, e), e, e) for e in range(s, min(len(b), s + longest)) if b[e] in t)
+            found += [(-d * len(t & set(b[s : e + 1])), s, e, d)] if d >= 0.8 else []
+        left = []
+        for x in sorted(found):
+            left += [x] if all(x[2] < y[1] or y[2] < x[1] for y in left) else []
+        if dice(0, len(b)) < 0.8:
+            some += bool(left)
+            assert r.n_units == len(left) and r.matches == ",".join(f"{s}-{e + 1}:t" for _, s, e, _ in sorted(left, key=lambda x: x[1]))
+            assert r.best_dice == pytest.approx(max([x[3] for x in left], default=0.0))
+    assert some >= 30
+
+
 def test_exact_dedup_edge_cases(edge):
     got = sorted(((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.find(edge).collect()), key=str)
     assert sorted(k for d, k, n, kept in got if n == 3) == [4, 4, 4]
