@@ -344,6 +344,14 @@ def test_html_blocks_are_kept_and_boilerplate_goes():
     assert html_text.extract_text("<div><span>x</span> y</div><!-- open") == "x y"
 
 
+def test_html_nested_layouts_are_kept_whole():
+    long = "<p>" + "A long paragraph, with commas, and text. " * 5 + "</p>"
+    text = "A long paragraph, with commas, and text. " * 5
+    page = f"<article><div class=content><h1>T</h1><section>{long}{long}</section><section><p>The end.</p></section></div></article>"
+    assert html_text.extract_text(page) == f"T {text}{text}The end."
+    assert html_text.extract_text(f"<div><h1>T</h1><ul><li>one</ul><div>{long}{long}</div><ul><li><a href=x>Other page</a></ul></div>") == f"T one {text}{text}".strip()
+
+
 def test_pages_give_their_articles(spark):
     import html
 

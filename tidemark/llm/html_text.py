@@ -4,8 +4,8 @@ A page is cut into tags and text, the tree of block elements is built as browser
 paragraphs, and elements that are no article by tag, role or name (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) go with all that they hold. Each paragraph
 gives points for its length and commas to its parent, half of them to the grandparent, a third to the
-one above. Points are discounted by link density; the best container is kept with those siblings that
-score well beside it. Of what is kept, every block is returned whole and in page order.
+one above. Points are discounted by link density; the best container, or the outermost article or main
+around it, is kept with those siblings that score well or have few links, short ones and headings too. Of what is kept, every block is returned whole and in page order.
 
 Defined results: null or empty html gives empty text; a page without paragraphs gives the text of its
 best block's container; unclosed tags, a cut-off end, equal scores (the first container stays) and
@@ -45,8 +45,8 @@ NAMES = re.compile(
     re.I,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: A sibling stays if it has this share of the best score, or is a paragraph of this length with few links.
-SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
+#: A sibling stays if it has this share of the best score, or fewer links than this.
+SIBLING_SHARE, SIBLING_LINKS = 0.2, 0.25
 
 
 @dataclass(eq=False)
@@ -197,12 +197,13 @@ def main_blocks(page: str) -> list[str]:
         best = max(ranked.values(), key=Node.score)
     if best is None:
         return []
-    while best.parent is not None and best.parent.tag in ("article", "main"):
-        best = best.parent
+    at = best.parent
+    while at is not None:
+        best, at = at if at.tag in ("article", "main") else best, at.parent
     keep = {id(best)}
     if best.parent is not None and best.tag not in ("article", "main", "body"):
         least = max(2.0, SIBLING_SHARE * best.score())
-        keep |= {id(s) for s in best.parent.children if not s.apart and (s.score() >= least or s.tag == "p" and s.chars >= SIBLING_CHARS and s.density() < SIBLING_LINKS)}
+        keep |= {id(s) for s in best.parent.children if not s.apart and (s.score() >= least or s.density() < SIBLING_LINKS)}
 
     def inside(n: Node | None) -> bool:
         while n is not None:
