@@ -385,7 +385,7 @@ def test_codec_equals_the_other_library(texts):
     parts = ["a", " ", "  ", "\n", "\t", " ", "é", "1", "'s", "'", "!!", "漢字", " ", " \n", "\x1c", "😀", "x ", "́", "​", "١", "\x85"]
     made = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(6000)]
     for t in [*made, *list(texts.values())[:60]]:
-        ids = next(ours.encode([t]))
+        ids = next(iter(ours.encode([t])))
         assert ids == theirs.encode_ordinary(t)
         assert ours.decode_bytes(ids) == t.encode() and ours.decode(ids) == t
 
@@ -400,12 +400,34 @@ def test_offsets_cover_split_characters(spark, edge):
     assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter((i, t or "") for i, t, *_ in EDGE if i is not None)
 
 
-def test_cache_bound_changes_nothing(monkeypatch, texts):
-    some = list(texts.values())[:40]
-    path, pattern = bpe.default_vocabulary()
-    whole = list(bpe.Codec(path, pattern).encode(some))
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
-    assert list(bpe.Codec(path, pattern).encode(some)) == whole
+def test_groups_and_unassigned_characters_change_nothing(texts):
+    """One text in a group, or many; splitting by the library where a character is not assigned."""
+    theirs, ours = _reference(), bpe.codec(*bpe.default_vocabulary())
+    some = [*list(texts.values())[:40], "a\u0558b c\u088f1 \U000323b0x", "", "x" * 3000 + " y" * 700_000]
+    assert list(ours.encode(some)) == [theirs.encode_ordinary(t) for t in some]
+    assert [next(iter(ours.encode([t]))) for t in some[:10]] == list(ours.encode(some[:10]))
+
+
+def test_modules_agree_on_assigned_characters():
+    import unicodedata
+
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs"))
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        theirs = {x for x, _ in pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(every)}
+        assert set(regex.findall(kind, every)) == theirs
+
+
+def test_digests_equal_the_other_library(spark, texts):
+    """The whole query's rows."""
+    theirs = _reference()
+    for r in queries.QUERIES["op8_byte_bpe"](spark, SMALL).collect():
+        t = texts[r.doc_id] or ""
+        ids = theirs.encode_ordinary(t)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
 # 9: quality classifier

@@ -1,35 +1,36 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 A rank file gives vocabulary and merges: every split of a token into two tokens is a merge, in the
-order of the token's rank, which is how ranks alone define byte-pair merging. Texts are cut where a
-single space stands between two other characters: there a match of the pattern begins whatever
-stands around, so pieces are encoded alone, and frequent ones once for each worker (a bounded cache).
-Whole texts are encoded; nothing is cut by length.
+order of the token's rank, which is how ranks alone define byte-pair merging. Texts are cut by the
+pattern; the pieces of a group of texts (some megabytes of an Arrow batch, or one longer text) are
+numbered, each distinct one has its bytes mapped to characters and is encoded once by the library's
+model, and a text's ids are its pieces' ids in order. Nothing outlives its group. Whole texts are encoded.
+
+The pattern runs in the regex module. Where a text holds a character that this Python's Unicode tables
+do not assign, of which modules may think differently, the library's own splitter cuts it.
 
 Decoding reverses the byte table; ids whose bytes end within a character are joined as bytes before
 any character is formed. Defined results: null text is empty and has no ids; empty tables give empty
-results; repeated rows are encoded each; other columns are not looked at.
+results; repeated rows are encoded each; a very long text needs memory in proportion to its own length;
+other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import unicodedata
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .common import documents
 
-#: Pieces kept during a task, and the longest that is kept. They go with the task: idle workers hold none.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
-#: All characters that str.split() takes as white space.
-_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
+from .common import documents, text_groups
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -46,29 +47,62 @@ def byte_table() -> list[str]:
     return [chr(b if b in printable else next(rest)) for b in range(256)]
 
 
+@dataclass
+class Encoded:
+    """A group of texts: the number of each piece by text, and the ids of each number."""
+
+    texts: list[array]
+    ids: list[list[int]]
+
+    def __iter__(self) -> Iterator[list[int]]:
+        for numbers in self.texts:
+            yield [i for k in numbers for i in self.ids[k]]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; made once in each worker."""
 
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        import regex
+        from tokenizers import Regex, models, pre_tokenizers
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        table = byte_table()
-        self.spell = lambda raw: "".join(table[b] for b in raw)
+        self.table = dict(enumerate(byte_table()))
         merges = [(self.spell(t[:i]), self.spell(t[i:])) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.tokenizer = Tokenizer(models.BPE(vocab={self.spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        byte_of = {c: b for b, c in enumerate(table)}
+        self.model = models.BPE(vocab={self.spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0)
+        self.pattern = regex.compile(pattern)
+        self.splitter = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        byte_of = {c: b for b, c in self.table.items()}
         #: The byte table reversed, for each id.
         self.raw = {r: bytes(byte_of[c] for c in self.spell(t)) for t, r in ranks.items()}
         self.decimal = {r: str(r).encode() for r in self.raw}
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+
+    def spell(self, raw: bytes) -> str:
+        return raw.decode("latin-1").translate(self.table)
+
+    def pieces(self, text: str) -> Iterator[str]:
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return iter([piece for piece, _ in self.splitter.pre_tokenize_str(text)])
+        if len(text) < 1 << 20 and not self.pattern.groups:
+            return iter(self.pattern.findall(text))
+        return (m[0] for m in self.pattern.finditer(text))
+
+    def encode(self, texts: list[str]) -> Encoded:
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__  # a new piece gets the next number
+        found = [array("l", map(number.__getitem__, self.pieces(t))) for t in texts]
+        ids_of = self.model.tokenize
+        return Encoded(found, [[token.id for token in ids_of(self.spell(p.encode()))] for p in number])
 
     def offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and, for each, the span of characters that its bytes touch; a split character belongs to all its ids."""
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        return found.ids, found.offsets
+        ids = next(iter(self.encode([text])))
+        ends = np.cumsum([len(self.raw[i]) for i in ids], dtype=np.int64)
+        # the number of the character that each byte belongs to: continuation bytes begin none
+        at = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
+        starts = np.concatenate([[0], ends[:-1]]) if ids else ends
+        return ids, list(zip(at[starts].tolist(), (at[ends - 1] + 1).tolist(), strict=True))
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
@@ -76,56 +110,16 @@ class Codec:
     def decode(self, ids: list[int], errors: str = "replace") -> str:
         return self.decode_bytes(ids).decode("utf-8", errors)
 
-    def pieces(self, text: str) -> list[str]:
-        """Cuts before each space that stands alone; joined again they are the text."""
-        if not text:
-            return []
-        blanks = _BLANKS[:10] if text.isascii() else _BLANKS
-        alone = sum([text.count(c) for c in blanks]) == len(text.split()) - 1  # no two side by side, none at an end
-        first, *rest = text.split(" ") if alone else _SPLIT.split(text)
-        return [first, *(" " + x for x in rest)]
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, bytes, bytes]]:
-        """Encodes the pieces that are not known yet: number of ids, ids as decimals, the bytes they decode to.
-        Returns those that are not kept."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = list(pieces)
-        over = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = found.ids
-                keep = self.known if len(piece) <= CACHE_CHARS and len(self.known) < CACHE_PIECES else over
-                keep[piece] = (len(ids), b",".join([self.decimal[i] for i in ids]), self.decode_bytes(ids))
-        return over
-
-    def encode_pieces(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, bytes]]]:
-        """What ``learn`` holds of each text's pieces, in order."""
-        for group in _bounded(texts):
-            cut = [self.pieces(t) for t in group]
-            over = self.learn({p for ps in cut for p in ps})
-            known = self.known
-            for ps in cut:
-                yield [known.get(p) or over[p] for p in ps] if over else [known[p] for p in ps]
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        for parts in self.encode_pieces(texts):
-            yield [int(i) for _, ids, _ in parts for i in ids.split(b",")]
-
-
-def _bounded(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Groups of about a million characters, so that what is held of a batch is bounded."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+    def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: the number of ids, and SHA-256 of the decimal ids joined by commas, and of the decoded bytes."""
+        found = self.encode(texts)
+        size = list(map(len, found.ids))
+        decimal = [b",".join(map(self.decimal.__getitem__, ids)) for ids in found.ids]
+        raw = list(map(self.decode_bytes, found.ids))
+        for numbers in found.texts:
+            n = sum(map(size.__getitem__, numbers))
+            shown, back = b",".join(map(decimal.__getitem__, numbers)), b"".join(map(raw.__getitem__, numbers))
+            yield n, hashlib.sha256(shown).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 @cache
@@ -133,53 +127,42 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _mapped(df: DataFrame, schema: str, row: Callable, path: str, pattern: str) -> DataFrame:
-    """``row(texts)`` yields the new columns for each text of a batch; the first column goes through."""
+def _mapped(df: DataFrame, schema: str, rows: Callable[[Codec, list], Iterator[tuple]], path: str | None, pattern: str | None) -> DataFrame:
+    """``rows(codec, values)`` yields the new columns for each value of a group; the first column goes through."""
+    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                columns = list(zip(*row(texts), strict=True)) if texts else [[] for _ in out[1:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, out[1:], strict=True))], names)
-        finally:
-            codec(path, pattern).known = {}
+        for batch in batches:
+            for part in text_groups(batch):
+                columns = zip(*rows(codec(path, pattern), [x if x is not None else "" for x in part.column(1).to_pylist()]), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, out, strict=True))], names)
 
     fields = [x.split() for x in schema.split(",")]
     names = [df.columns[0], *(n for n, _ in fields)]
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-    out = [None, *(kinds[k] for _, k in fields)]
+    out = [kinds[k] for _, k in fields]
     return df.mapInArrow(run, f"`{df.columns[0]}` {df.dtypes[0][1]}, {schema}")
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids and the character span of each id (starts, ends)."""
-    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
 
-    def row(texts: list[str]):
+    def rows(known: Codec, texts: list[str]) -> Iterator[tuple]:
         for t in texts:
-            ids, spans = codec(path, pattern).offsets(t)
+            ids, spans = known.offsets(t)
             yield ids, [a for a, _ in spans], [b for _, b in spans]
 
-    return _mapped(docs.select(doc_id, text), "ids array<int>, starts array<int>, ends array<int>", row, path, pattern)
+    return _mapped(docs.select(doc_id, text), "ids array<int>, starts array<int>, ends array<int>", rows, path, pattern)
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and text; bytes that form no character become U+FFFD. Null ids give empty text."""
-    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
-    return _mapped(encoded.select(doc_id, ids), "text string", lambda rows: ((codec(path, pattern).decode(list(x)),) for x in rows), path, pattern)
+    return _mapped(encoded.select(doc_id, ids), "text string", lambda known, rows: ((known.decode(list(x)),) for x in rows), path, pattern)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the decimal ids joined by commas, and of the bytes that the ids decode to."""
-    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
-
-    def row(texts: list[str]):
-        for parts in codec(path, pattern).encode_pieces(texts):
-            n = sum([k for k, _, _ in parts])
-            yield n, hashlib.sha256(b",".join([x for _, x, _ in parts])).hexdigest(), hashlib.sha256(b"".join([x for _, _, x in parts])).hexdigest()
-
-    return _mapped(docs.select(doc_id, text), "n_tokens long, ids_sha256 string, decoded_sha256 string", row, path, pattern)
+    return _mapped(docs.select(doc_id, text), "n_tokens long, ids_sha256 string, decoded_sha256 string", Codec.digest, path, pattern)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,24 @@ def anti_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return marked.filter("not _near").drop("_near").unionByName(marked.filter("_near").drop("_near").join(ids.select(key), key, "left_anti").select(df.columns))
 
 
+def text_groups(batch, size: int = 1 << 21):
+    """A batch in slices whose second column holds about ``size`` bytes, or one longer value, so that what Python
+    holds at once is bounded; 1,024 rows where it is no text."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column, n = batch.column(1), batch.num_rows
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = (np.flatnonzero(np.diff(upto // size)) + 1).tolist()
+    else:
+        cuts = list(range(1024, n, 1024))
+    for start, end in zip([0, *cuts], [*cuts, n], strict=True):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def map_texts(df: DataFrame, key: str, text: str, schema: str, rows, types) -> DataFrame:
     """``key`` and, from ``rows(texts)``, one tuple of new columns for each text of an Arrow batch; null is empty text."""
     import pyarrow as pa
@@ -99,9 +117,9 @@ def map_texts(df: DataFrame, key: str, text: str, schema: str, rows, types) -> D
 
     def run(batches):
         for batch in batches:
-            made = list(rows([t or "" for t in batch.column(1).to_pylist()]))
-            columns = zip(*made, strict=True) if made else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names)
+            for part in text_groups(batch):
+                columns = zip(*rows([t or "" for t in part.column(1).to_pylist()]), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names)
 
     kind = dict(df.dtypes)[key]
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {schema}")
