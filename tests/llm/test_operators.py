@@ -226,6 +226,34 @@ def test_hosts_are_judged_by_shrunk_rates(spark):
     assert quality_rules.keep(df).count() == got.filter("kept").count() == 400
 
 
+def test_hosts_of_every_verdict_equal_sql(spark):
+    """Rotten, suspect, ordinary and trusted hosts, documents of none to three points: one result in both engines."""
+    import duckdb
+    import pandas as pd
+
+    line = "one two three four five six seven eight nine"
+    clean = " ".join(f"word{i}x{i * 7 % 11}" for i in range(60))
+    mild, gross, worst = clean + "\n" + f"{line}\n" * 2, clean + "\n" + f"{line}\n" * 4, clean + " #" * 40
+    mild = mild.rstrip("\n") + "\nlast line"
+    kinds = {"clean": clean, "mild": mild, "gross": gross.rstrip("\n"), "worst": worst, "base": "too few"}
+    shares = {"rotten": {"base": 1900, "clean": 100}, "suspect": {"clean": 300, "mild": 300, "gross": 700, "worst": 700}, "trusted": {"clean": 1995, "mild": 2, "gross": 2, "worst": 1}}
+    shares |= {f"plain{i}": {"clean": 1500 + 10 * i, "mild": 100, "gross": 100, "base": 200, "worst": 100} for i in range(8)}
+    rows = [(h, k, kinds[k]) for h, by in shares.items() for k, n in by.items() for _ in range(n)]
+    documents = pd.DataFrame([(i, t, h, k) for i, (h, k, t) in enumerate(rows)], columns=["doc_id", "text", "source", "kind"])
+    out = quality_rules.judge(spark.createDataFrame(documents))
+    verdicts = {r.source: r.host_verdict for r in out.select("source", "host_verdict").distinct().collect()}
+    assert {verdicts[h] for h in shares if h.startswith("plain")} == {"ordinary"}
+    assert [verdicts[h] for h in ("rotten", "suspect", "trusted")] == ["rejected", "suspect", "trusted"]
+    stay = {(r.host_verdict, r.kind) for r in out.filter("kept").select("host_verdict", "kind").distinct().collect()}
+    assert stay == {("suspect", "clean"), ("ordinary", "clean"), ("ordinary", "mild"), ("trusted", "clean"), ("trusted", "mild"), ("trusted", "gross")}
+    assert quality_rules.keep(spark.createDataFrame(documents)).count() == out.filter("kept").count()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    shown = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_points", "host_verdict", F.round("shrunk_rate", 6).alias("host_rate"))
+    ours, theirs = same_rows(shown, con, queries.ORACLES["op10_quality_rules"])
+    assert ours == theirs
+
+
 def test_repeat_words_by_brute_force(spark):
     rng = random.Random(3)
     made = [" ".join(rng.choices("ab" if i % 2 else "abcdefgh", k=i % 23)) for i in range(400)]

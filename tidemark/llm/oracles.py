@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import licenses
-from .quality_rules import MAX_DUP_LINES, MAX_SYMBOLS_PER_WORD, MIN_WORDS, REJECT_RATE, SUSPECT_RATE, WORD_LENGTHS
+from .quality_rules import APART, LINES_PERCENT, MIN_WORDS, POINTS, REJECT_RATE, SURE, SYMBOLS_PERCENT, WORD_LENGTHS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,15 +19,19 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
   coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words OR n_dup_lines > {MAX_DUP_LINES} * n_lines OR word_chars < {WORD_LENGTHS[0]} * n_words OR word_chars > {WORD_LENGTHS[1]} * n_words AS soft_failed FROM m),
-h AS (SELECT host, count(*) AS n, CAST(count(*) FILTER (base_failed OR soft_failed) AS DOUBLE) AS f FROM r GROUP BY host),
+f AS (SELECT unnest([1, 2, 4]) AS f),
+pts AS (SELECT doc_id, CAST(greatest(count(*) FILTER (100 * n_symbols > {SYMBOLS_PERCENT} * f * n_words), count(*) FILTER (100 * n_dup_lines > {LINES_PERCENT} * f * n_lines),
+  count(*) FILTER (f * word_chars < {WORD_LENGTHS[0]} * n_words OR word_chars > {WORD_LENGTHS[1]} * f * n_words)) AS INTEGER) AS soft_points FROM m, f GROUP BY doc_id),
+r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m JOIN pts USING (doc_id)),
+h AS (SELECT host, count(*) AS n, CAST(count(*) FILTER (base_failed OR soft_points > 0) AS DOUBLE) AS f FROM r GROUP BY host),
 s AS (SELECT sum(f) / sum(n) AS m, var_pop(f / n) AS v, avg(1.0 / n) AS inv, avg(n) AS size FROM h),
 p AS (SELECT m, greatest(2.0, CASE WHEN v - m * (1 - m) * inv > 0 THEN m * (1 - m) / (v - m * (1 - m) * inv) - 1 ELSE size END) AS strength FROM s),
-q AS (SELECT host, (f + m * strength) / (n + strength) AS rate FROM h, p),
-j AS (SELECT r.*, rate, CASE WHEN rate >= {REJECT_RATE} THEN 'rejected' WHEN rate >= {SUSPECT_RATE} THEN 'suspect' ELSE 'trusted' END AS host_verdict FROM r JOIN q USING (host))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_verdict <> 'rejected' AND NOT (host_verdict = 'suspect' AND soft_failed) AS kept,
-  soft_failed, host_verdict, round(rate, 6) AS host_rate FROM j"""
+q AS (SELECT host, n, m, strength, (f + m * strength) / (n + strength) AS rate, {APART} * sqrt(m * (1 - m) / (strength + 1)) AS spread FROM h, p),
+u AS (SELECT *, CAST({SURE} AS DOUBLE) * sqrt(rate * (1 - rate) / (n + strength + 1)) AS unsure FROM q),
+j AS (SELECT r.*, rate, CASE WHEN rate - unsure > {REJECT_RATE} THEN 'rejected' WHEN rate - unsure > m + spread THEN 'suspect' WHEN rate + unsure < m - spread THEN 'trusted' ELSE 'ordinary' END AS host_verdict FROM r JOIN u USING (host))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND host_verdict <> 'rejected' AND soft_points < CASE host_verdict WHEN 'suspect' THEN {POINTS["suspect"]} WHEN 'trusted' THEN {POINTS["trusted"]} ELSE {POINTS["ordinary"]} END AS kept,
+  soft_points, host_verdict, round(rate, 6) AS host_rate FROM j"""
 
 
 def _templates() -> str:

@@ -1,15 +1,26 @@
 """Host-level quality rules: rule failures by domain, shrunk by an empirical beta prior, decide on documents.
 
-Every document gets the base counts and some soft rules. Failures are summed by host (the column
-``source``), the hosts' failure rates shrink towards a beta prior that is fitted to all hosts by
-moments, and each host's verdict goes back to its documents.
+Every document gets the base counts and points for soft rules: one for a limit that it breaks, two beyond
+twice that limit, three beyond four times. Failures (of the base or any soft rule) are summed by host (the
+column ``source``), the hosts' failure rates shrink towards a beta prior that is fitted to all hosts by moments,
+and each host's verdict goes back to its documents. With a chance of nine tenths, by its posterior, a host is
 
-Defined results: null text has no words and fails; a null source is a host of its own; an empty
-table gives an empty result; repeated rows stay and count each; other columns are not looked at.
+- rejected if more than nine tenths of its documents fail: all of them go;
+- suspect if its rate lies more than one deviation of the prior above the prior's mean: one point is enough to go;
+- trusted if it lies as far below the mean: only documents of three points go;
+- ordinary else: documents of two points go.
+
+Chances are taken from the normal curve of the posterior's mean and variance. Documents that fail the base go anywhere.
+
+Defined results: null text has no words and fails; a null source is a host of its own; an empty table gives
+an empty result; repeated rows stay and count each; ties (a rate on a limit) count as ordinary; texts of any length
+are counted whole, in memory proportional to their words; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +30,12 @@ from .common import SPACE, anti_join, documents, hot_safe_join, located, locator
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Soft rules: share of symbols to words, of repeated lines, mean length of words.
-MAX_SYMBOLS_PER_WORD, MAX_DUP_LINES, WORD_LENGTHS = 0.1, 0.3, (2, 10)
-#: Shrunk failure rate from which a host's documents are all rejected, or only those that fail a soft rule.
-REJECT_RATE, SUSPECT_RATE = 0.95, 0.5
+#: Soft rules: symbols to a hundred words, percent of repeated lines, mean length of words.
+SYMBOLS_PERCENT, LINES_PERCENT, WORD_LENGTHS = 10, 30, (2, 10)
+#: Least points at which a document goes, by its host's verdict.
+POINTS = {"suspect": 1, "ordinary": 2, "trusted": 3}
+#: Rate of a rejected host, deviations of the prior that set hosts apart, and those of a chance of nine tenths.
+REJECT_RATE, APART, SURE = 0.9, 1.0, 1.2816
 #: Room for the position in a sorted key; the other 33 bits hold a hash.
 _POSITION = 31
 
@@ -71,9 +84,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_lines": F.size("_lines").cast("long"),
         }
     ).drop("_words", "_lines")
-    n = F.col("n_words")
-    soft = (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * n) | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines")) | (F.col("word_chars") < WORD_LENGTHS[0] * n) | (F.col("word_chars") > WORD_LENGTHS[1] * n)
-    return out.withColumns({"base_failed": (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n), "soft_failed": soft})
+    n, chars = F.col("n_words"), F.col("word_chars")
+
+    def points(breaks) -> Column:
+        return sum((breaks(f).cast("int") for f in (2, 4)), breaks(1).cast("int"))
+
+    rules = (
+        lambda f: 100 * F.col("n_symbols") > SYMBOLS_PERCENT * f * n,
+        lambda f: 100 * F.col("n_dup_lines") > LINES_PERCENT * f * F.col("n_lines"),
+        lambda f: (f * chars < WORD_LENGTHS[0] * n) | (chars > WORD_LENGTHS[1] * f * n),
+    )
+    out = out.withColumns({"base_failed": (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n), "soft_points": F.greatest(*map(points, rules))})
+    return out.withColumn("soft_failed", F.col("soft_points") > 0)
 
 
 def hosts(measured: DataFrame, host: str = "source") -> DataFrame:
@@ -91,8 +113,12 @@ def hosts(measured: DataFrame, host: str = "source") -> DataFrame:
     else:
         between = v - m * (1 - m) * inverse
         strength = max(2.0, m * (1 - m) / between - 1 if between > 0 else mean_size)
+    spread = APART * math.sqrt(m * (1 - m) / (strength + 1))
+    counts = counts.withColumn("shrunk_rate", (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength)))
     shrunk = F.col("shrunk_rate")
-    return counts.withColumn("shrunk_rate", (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))).withColumn("verdict", F.when(shrunk >= REJECT_RATE, "rejected").when(shrunk >= SUSPECT_RATE, "suspect").otherwise("trusted"))
+    unsure = SURE * F.sqrt(shrunk * (1 - shrunk) / (F.col("n_docs") + F.lit(strength + 1)))
+    verdict = F.when(shrunk - unsure > REJECT_RATE, "rejected").when(shrunk - unsure > F.lit(m + spread), "suspect").when(shrunk + unsure < F.lit(m - spread), "trusted")
+    return counts.withColumn("verdict", verdict.otherwise("ordinary"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", stage: Staging | None = None) -> DataFrame:
@@ -125,8 +151,10 @@ def _host(c: Column) -> Column:
 
 
 def _kept(verdict: Column) -> Column:
-    return ~F.col("base_failed") & (verdict != "rejected") & ~((verdict == "suspect") & F.col("soft_failed"))
+    points = F.col("soft_points")
+    stays = [(verdict == name) & (points < least) for name, least in POINTS.items()]
+    return ~F.col("base_failed") & (stays[0] | stays[1] | stays[2])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_verdict", F.round("shrunk_rate", 6).alias("host_rate"))
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_points", "host_verdict", F.round("shrunk_rate", 6).alias("host_rate"))
