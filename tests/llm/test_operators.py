@@ -233,9 +233,8 @@ def test_hosts_of_every_verdict_equal_sql(spark):
 
     line = "one two three four five six seven eight nine"
     clean = " ".join(f"word{i}x{i * 7 % 11}" for i in range(60))
-    mild, gross, worst = clean + "\n" + f"{line}\n" * 2, clean + "\n" + f"{line}\n" * 4, clean + " #" * 40
-    mild = mild.rstrip("\n") + "\nlast line"
-    kinds = {"clean": clean, "mild": mild, "gross": gross.rstrip("\n"), "worst": worst, "base": "too few"}
+    mild, gross, worst = clean + "\n" + f"{line}\n" * 2, clean + "\n" + f"{line}\n" * 5, clean + " #" * 80
+    kinds = {"clean": clean, "mild": mild.rstrip("\n"), "gross": gross.rstrip("\n"), "worst": worst, "base": "too few"}
     shares = {"rotten": {"base": 1900, "clean": 100}, "suspect": {"clean": 300, "mild": 300, "gross": 700, "worst": 700}, "trusted": {"clean": 1995, "mild": 2, "gross": 2, "worst": 1}}
     shares |= {f"plain{i}": {"clean": 1500 + 10 * i, "mild": 100, "gross": 100, "base": 200, "worst": 100} for i in range(8)}
     rows = [(h, k, kinds[k]) for h, by in shares.items() for k, n in by.items() for _ in range(n)]
