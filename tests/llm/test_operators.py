@@ -316,6 +316,27 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def test_repeated_rows_and_ids_with_several_texts(spark, monkeypatch):
+    """A row repeated a thousand times is one document to compare; texts of one id are judged each by its own."""
+    base = [f"w{i}" for i in range(120)]
+    other = [f"v{i}" for i in range(120)]
+    rows = [(1, " ".join(base))] * 1000 + [(2, " ".join([*base[:-1], "x"])), (5, " ".join(base[:-2])), (5, " ".join(other)), (9, " ".join([*other[:-1], "y"])), (None, " ".join(base))]
+    met = []
+    seen = minhash.resolve
+
+    def resolve(members, keys, percent):
+        met.append(members.count())
+        return seen(members, keys, percent)
+
+    monkeypatch.setattr(minhash, "resolve", resolve)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.find(df, 3, 85).collect())
+    assert got == {(1, 1, True): 1000, (2, 1, False): 1, (5, 1, False): 1, (5, 5, True): 1, (9, 5, False): 1, (None, None, True): 1}
+    assert max(met) == 5
+    left = sorted((r.doc_id or 0, r.text.split()[0]) for r in minhash.keep(df, 3, 85).collect())
+    assert left == sorted([(1, "w0")] * 1000 + [(5, "v0"), (0, "w0")])
+
+
 def test_bands_hold_their_promise():
     for percent in (70, 80, 85, 95):
         bands, rows = minhash.bands_and_rows(percent)

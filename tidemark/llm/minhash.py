@@ -1,22 +1,25 @@
 """MinHash near-dedup: universal hash minima with banding, verification, connected components.
 
 1. Every document's distinct word shingles are hashed to 64 bits; many universal hash functions give
-   its minima, cut into bands. Documents with equal sets form one class with one representative.
+   its minima, cut into bands. Documents with equal sets form one class, with a number of its own (rid) and one
+   representative row; repeated rows and rows of one doc_id with several texts are no special case from there on.
 2. Representatives with an equal band are candidates. A bucket is not expanded into pairs: each member
    gets an edge to the bucket's smallest, and the components of these edges are groups outside of which
    nothing can be linked by a band.
 3. Groups are resolved exactly, in blocks of bounded size: signatures leave out pairs that cannot reach
    the similarity, the others are compared on their full sets. A pair is passed over only if its two
    documents are connected already. Of a group of several blocks, each block is resolved alone, then
-   against one lead block, and then every document outside the group's largest component against all
-   blocks: every pair of different components is compared.
+   against one lead block. What is left are buckets whose members belong to different components: there
+   each member outside of the bucket's largest component is compared with all members of the bucket, in
+   blocks again, so every pair that shares a band is compared or connected.
 4. The links' components, found by large-star and small-star, give each document its smallest partner.
 
 The number of bands is chosen so that a pair at the similarity itself is missed with a probability under
 1e-5. Defined results: null text is empty; documents without words have an empty set and stay alone;
 with fewer words than a shingle has, all words are one shingle; repeated rows share their fate, and rows
 that share a doc_id but not their text are judged each by its own; a null doc_id stays alone with a null
-component and is kept; an empty table gives an empty result; other columns are not looked at.
+component and is kept; an empty table gives an empty result; whole texts of any length are read, a block's
+memory growing with its longest; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected
 from tidemark.storage import Staging
 
-from .common import anti_join, documents, hot_safe_join, map_texts, may_match
+from .common import anti_join, documents, hot_safe_join, located, locator, map_texts, may_match, packed
 
 HASHES, MISS = 256, 1e-5
 #: A block has this many documents, or shingles, on average at most.
@@ -47,7 +50,7 @@ class WordHashes(dict):
     """Words' 64-bit hashes, each computed once while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -113,7 +116,7 @@ def sign(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataF
             else:
                 yield 0, None, None, None
 
-    return map_texts(docs, doc_id, text, "n_shingles long, digest binary, signature binary, bands array<bigint>", rows, [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]).withColumnRenamed(doc_id, "doc_id")
+    return map_texts(docs, doc_id, text, "n_shingles long, digest binary, signature binary, bands array<bigint>", rows, [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())])
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -224,26 +227,30 @@ def resolve(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def find(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", stage: Staging | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is connected with), kept."""
+    """One row per document: doc_id, locator, n_shingles, component_id (the smallest doc_id it is connected with), kept."""
     stage = stage or Staging(docs.sparkSession, "minhash")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stage.table(sign(docs, k, percent, "doc_id", "text"), "signed")
+    docs = located(docs)
+    docs = docs.select(F.struct(F.col(doc_id).cast("long").alias("doc_id"), locator(docs).alias("locator")).alias("row"), F.col(text).alias("text"))
+    signed = stage.table(sign(docs, k, percent, "row", "text").select("row.*", "n_shingles", "digest", "signature", "bands"), "signed")
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
-    classes = stage.table(signed.filter(usable).groupBy("digest").agg(F.min("doc_id").alias("rid"), F.count("*").alias("copies")), "classes")
-    reps = signed.join(classes.select("digest", F.col("rid").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
-    reps = stage.table(reps.select(F.col("doc_id").alias("rid"), "n_shingles", "signature", "bands"), "reps")
-    links = _links(stage, docs, reps, k, percent)
-    components = connected(stage, links, "components") if links is not None else None
-    if components is not None:
-        components = stage.table(components, "result").select(F.col("node").alias("rid"), "component")
-        classes = stage.table(classes.join(components, "rid", "left").withColumn("component", F.coalesce("component", "rid")), "labelled")
-    else:
-        classes = classes.withColumn("component", F.col("rid"))
-    slim = signed.select("doc_id", "n_shingles", "digest")
+    first = F.min(F.struct("doc_id", "locator", "n_shingles", "signature", "bands"))
+    classes = signed.filter(usable).groupBy("digest").agg(first.alias("rep"), F.count("*").alias("copies"))
+    # numbers of the classes hold from here on, as the table is written
+    classes = stage.table(classes.select("digest", "copies", "rep.*", F.monotonically_increasing_id().alias("rid")), "classes")
+    links = _links(stage, docs, classes.select("rid", "locator", "n_shingles", "signature", "bands"), k, percent)
+    names = classes.select("digest", "copies", F.col("doc_id").alias("component"))
+    if links is not None:
+        parts = stage.table(connected(stage, links, "components").select(F.col("node").alias("rid"), F.col("component").alias("part")), "result")
+        member = stage.table(classes.select("rid", "doc_id").join(parts, "rid"), "parts")
+        least = stage.table(member.groupBy("part").agg(F.min("doc_id").alias("component"), F.count("*").alias("size")), "least")
+        named = hot_safe_join(member, least, "part", F.col("size"), member.count()).select("rid", "component")
+        names = classes.select("rid", "digest", "copies", "doc_id").join(named, "rid", "left")
+        names = stage.table(names.select("digest", "copies", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    slim = signed.select("doc_id", "locator", "n_shingles", "digest")
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    linked = hot_safe_join(slim.filter(usable), classes.select("digest", "copies", "component"), "digest", F.col("copies"), total)
-    out = linked.select("doc_id", "n_shingles", "component").unionByName(slim.filter(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    linked = hot_safe_join(slim.filter(usable), names, "digest", F.col("copies"), total)
+    out = linked.select("doc_id", "locator", "n_shingles", "component").unionByName(slim.filter(~usable).select("doc_id", "locator", "n_shingles", F.col("doc_id").alias("component")))
+    return out.select("doc_id", "locator", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def _links(stage: Staging, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -255,17 +262,15 @@ def _links(stage: Staging, docs: DataFrame, reps: DataFrame, k: int, percent: in
     groups = stage.table(connected(stage, edges, "groups").select(F.col("node").alias("rid"), F.col("component").alias("gid")), "grouped")
     if groups.isEmpty():
         return None
-    # a doc_id with several texts has a row for each of them
-    sizes = reps.select("rid", "n_shingles", "signature").join(groups, "rid")
-    sizes = stage.table(sizes, "members")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    shape = stage.table(sizes.groupBy("gid").agg(F.count("*").alias("size"), blocks.alias("blocks")), "shape")
+    sizes = stage.table(reps.select("rid", "locator", "n_shingles").join(groups, "rid"), "members")
+    shape = stage.table(sizes.groupBy("gid").agg(F.count("*").alias("size"), _blocks(F.count("*"), F.sum("n_shingles")).alias("blocks")), "shape")
     n = shape.agg(F.sum("size")).first()[0]
-    member = hot_safe_join(sizes.select("rid", "gid", "n_shingles", "signature"), shape, "gid", F.col("size"), n).withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    member = stage.table(member, "placed")
-    texts = may_match(docs.withColumnRenamed("doc_id", "rid"), groups, "rid").join(groups.select("rid"), "rid", "left_semi")
-    sets = full_sets(texts.select(F.col("rid").alias("key"), "text"), k).withColumnRenamed("key", "rid").withColumn("n_shingles", (F.octet_length("shingles") / 8).cast("long"))
-    member = stage.table(member.join(sets, ["rid", "n_shingles"]).select("gid", "blk", "blocks", "rid", "signature", "shingles"), "sets")
+    placed = hot_safe_join(sizes, shape, "gid", F.col("size"), n).withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    placed = stage.table(placed.select("rid", "locator", "gid", "blk", "blocks"), "placed")
+    texts = may_match(docs.select(F.col("row.locator").alias("locator"), "text"), placed, "locator").join(placed.select("locator", "rid"), "locator")
+    sets = full_sets(texts.select(F.col("rid").alias("key"), "text"), k).withColumnRenamed("key", "rid")
+    member = placed.drop("locator").join(reps.select("rid", "n_shingles", "signature"), "rid").join(sets, "rid")
+    member = stage.table(member.select("gid", "blk", "blocks", "rid", "n_shingles", "signature", "shingles"), "sets")
     plain = member.withColumns({"label": F.col("rid"), "asks": F.lit(False)})
     found = stage.table(resolve(plain, ["gid", "blk"], percent), "links-1")
     large = member.filter("blocks > 1")
@@ -279,14 +284,29 @@ def _links(stage: Staging, docs: DataFrame, reps: DataFrame, k: int, percent: in
     # only blocks' links can meet those of the lead: links of groups of one block need no further look
     joint = found.join(large.select(F.col("rid").alias("u")).distinct(), "u", "left_semi").select("u", "v")
     marked = _labelled(stage, large, connected(stage, joint, "two").select(F.col("node").alias("rid"), F.col("component").alias("label")), "two")
-    counts = marked.groupBy("gid", "label").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("gid").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
-    largest = stage.table(largest.select("gid", "size", F.col("top.label").alias("top"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK_DOCS).cast("int").alias("parts")).filter("parts > 0"), "largest")
-    total = largest.agg(F.sum("size")).first()[0] or 0
-    marked = hot_safe_join(marked, largest, "gid", F.col("size"), total)
-    answers = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asks = marked.filter("label <> top").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts")).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    return found.unionByName(stage.table(resolve(answers.unionByName(asks), ["gid", "blk", "part"], percent), "links-3"))
+    return found.unionByName(_bucket_links(stage, marked, banded, percent))
+
+
+def _blocks(members: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(members / BLOCK_DOCS, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _bucket_links(stage: Staging, marked: DataFrame, banded: DataFrame, percent: int) -> DataFrame:
+    """Links within buckets whose members have different labels: those outside of the bucket's largest label against all."""
+    at = stage.table(marked.select("rid", "label", "n_shingles").join(banded, "rid"), "at")
+    # the label that most members have is counted by band and label, so that a large bucket is no large group
+    by = at.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    buckets = by.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.sum("s").alias("shingles")).filter("size > top.c")
+    parts = F.ceil((F.col("size") - F.col("top.c")) / BLOCK_DOCS).cast("int")
+    buckets = stage.table(buckets.select("band", "size", F.col("top.label").alias("top"), _blocks(F.col("size"), F.col("shingles")).alias("blocks"), parts.alias("parts")), "mixed")
+    total = buckets.agg(F.sum("size")).first()[0] or 0
+    mixed = hot_safe_join(at.select("rid", "label", "band"), buckets, "band", F.col("size"), total)
+    mixed = stage.table(mixed.select("rid", "band", "top", "blocks", "parts"), "asked")
+    rows = marked.select("rid", "label", "asks", "signature", "shingles").join(mixed, "rid").withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    answers = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asks = rows.filter("label <> top").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts")).cast("int"))
+    asks = asks.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    return stage.table(resolve(answers.unionByName(asks), ["band", "blk", "part"], percent), "links-3")
 
 
 def _labelled(stage: Staging, member: DataFrame, parts: DataFrame, name: str) -> DataFrame:
@@ -296,14 +316,13 @@ def _labelled(stage: Staging, member: DataFrame, parts: DataFrame, name: str) ->
 
 
 def keep(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows without those of the documents that are not kept: the smallest doc_id of each component stays."""
-    stage = Staging(docs.sparkSession, "minhash")
-    gone = find(docs, k, percent, doc_id, text, stage).filter("not kept").select(F.col("doc_id").alias("_id"))
-    gone = Staging(docs.sparkSession, "dropped").table(gone, "ids")
+    """The input's rows without those that are not kept: the rows of each component's smallest doc_id stay."""
+    docs, stage = located(docs), Staging(docs.sparkSession, "minhash")
+    gone = find(docs, k, percent, doc_id, text, stage).filter("not kept").select(F.col("locator").alias("_locator"))
+    gone = Staging(docs.sparkSession, "dropped").table(gone, "rows")
     stage.drop()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_id"))
-    return anti_join(rows, gone, "_id").select("_row.*")
+    return anti_join(packed(docs), gone, "_locator").select("_row.*")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(documents(spark, sf_dir), k=3, percent=85)
+    return find(documents(spark, sf_dir), k=3, percent=85).drop("locator")
