@@ -197,6 +197,34 @@ def test_state_is_kept_over_micro_batches(spark, monkeypatch):
     assert all(r.group_size == 40 and r.keep_id == 390 + r.doc_id % 10 for r in got) and sum(r.kept for r in got) == 10
 
 
+def test_state_of_earlier_calls_is_kept(spark, tmp_path):
+    rows = lambda ids: spark.createDataFrame([(i, f"t{i % 10}") for i in ids], "doc_id long, text string")
+    for name, ids in (("a", range(20)), ("b", range(20, 25))):
+        rows(ids).write.parquet(f"{tmp_path}/{name}")
+    first, second = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    got = exact_dedup.find(first, state_dir=f"{tmp_path}/state").collect()
+    assert sum(r.kept for r in got) == 10 and {r.group_size for r in got} == {2}
+    got = exact_dedup.find(second, state_dir=f"{tmp_path}/state", earlier=first).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(i, i, 3, True) for i in range(20, 25)]
+    got = exact_dedup.find(rows([3, 77]), state_dir=f"{tmp_path}/state").collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(3, 23, 4, False), (77, 77, 3, True)]
+
+
+def test_budgets_grow_in_proportion(spark):
+    """Many children of one parent: a frame summed anew for each row would take minutes."""
+    import time
+
+    made = spark.range(200_000).select(F.lit("d").alias("p1"), F.lit("d/en").alias("p2"), F.concat(F.lit("d/en/"), F.col("id").cast("string")).alias("p3"), F.lit(1).alias("n_docs"), (F.col("id") % 97 + 1).alias("tokens"), (F.col("id") % 97 + 1).alias("capacity"))
+    start = time.monotonic()
+    r = mixing.budgets(made, 1e6, {}).agg(F.sum("budget"), F.max("budget"), F.min("budget")).first()
+    assert time.monotonic() - start < 60 and r[2] == 1 and r[1] == 5 and 790_000 < r[0] <= 1e6
+
+
+def test_mixing_by_another_count(spark):
+    df = spark.createDataFrame([(i, "w", "en", "a", 10) for i in range(10)], "doc_id long, text string, lang string, source string, n int")
+    assert mixing.mix(df, budget_share=0.5, max_epochs=1, weights={}, tokens=F.col("n")).agg(F.sum("n_tokens")).first()[0] == 50
+
+
 def test_mixing_follows_weights_and_gives_shortages_to_siblings(spark):
     rows = [(i, "w " * 10, lang, src) for i, (lang, src) in enumerate([("en", "a")] * 50 + [("en", "b")] * 4 + [("de", "c")] * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -7,10 +7,14 @@ more than its subtree holds, shortages reach ancestors only when all siblings ar
 budget buys whole epochs and then a token-prefix of one more, whose order is the MD5 of seed, epoch
 and doc_id.
 
+Tokens are words (runs of characters other than ASCII white space) unless ``tokens`` gives another count, such as
+that of a tokenizer. Children of one parent are laid out in one task, a row of some numbers each.
+
 The prefix of a leaf of any size is found by sums over 65,536 ranges of that order; only the range in
 which the budget ends is looked at row by row. Defined results: null in a tree column is the child
 "null"; null text has no tokens; documents without tokens cost nothing; equal keys are ordered by doc_id
-and row; repeated rows count each; an empty table gives an empty result; other columns are not looked at.
+and row; repeated rows count each; an empty table gives an empty result; whole texts of any length are counted;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +41,8 @@ def share_out(nodes: DataFrame, parent: str) -> DataFrame:
     """Adds ``budget`` to nodes (path, parent's path and budget, capacity, weight): the water level of each family."""
     family = Window.partitionBy(parent).orderBy(F.col("capacity") / F.col("weight"), "path")
     before = F.coalesce(F.sum("capacity").over(family.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weight = F.sum("weight").over(family.rowsBetween(0, Window.unboundedFollowing))
+    # what is left of the family's weight, without a frame that each row would sum anew
+    weight = F.sum("weight").over(Window.partitionBy(parent)) - F.coalesce(F.sum("weight").over(family.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     level = (F.col("parent_budget") - before) / weight
     nodes = nodes.withColumn("_level", level)
     open_level = F.first(F.when(F.col("capacity") > F.col("weight") * F.col("_level"), F.col("_level")), ignorenulls=True).over(family.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -63,7 +68,7 @@ def budgets(leaves: DataFrame, budget: float, weights: dict[str, float]) -> Data
     return above.select("path", "n_docs", "tokens", "capacity", "weight", F.floor("budget").alias("budget"))
 
 
-def mix(docs: DataFrame, tree: tuple[Column, Column, Column] | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, weights: dict[str, float] | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", stage: Staging | None = None) -> DataFrame:
+def mix(docs: DataFrame, tree: tuple[Column, Column, Column] | None = None, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, weights: dict[str, float] | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", stage: Staging | None = None, tokens: Column | None = None) -> DataFrame:
     """One row for each document and epoch that is chosen: doc_id, locator, path, epoch, n_tokens.
 
     The budget is ``budget_share`` of all tokens. ``tree`` gives the three levels' columns, by default
@@ -73,7 +78,8 @@ def mix(docs: DataFrame, tree: tuple[Column, Column, Column] | None = None, budg
     weights = WEIGHTS if weights is None else weights
     levels = tree or (domain_of(F.col("source")), F.col("lang"), F.col("source"))
     name = [F.coalesce(c.cast("string"), F.lit("null")) for c in levels]
-    slim = docs.select(F.col(doc_id).alias("doc_id"), locator(docs).alias("locator"), *[F.concat_ws("/", *name[:i]).alias(f"p{i}") for i in (1, 2, 3)], F.size(words(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("n_tokens"))
+    count = F.size(words(F.coalesce(F.col(text), F.lit("")))) if tokens is None else F.coalesce(tokens, F.lit(0))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), locator(docs).alias("locator"), *[F.concat_ws("/", *name[:i]).alias(f"p{i}") for i in (1, 2, 3)], count.cast("long").alias("n_tokens"))
     slim = stage.table(slim, "slim")
     leaves = stage.table(slim.groupBy("p1", "p2", "p3").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")).withColumn("capacity", F.col("tokens") * max_epochs), "leaves")
     total, n = leaves.agg(F.sum("tokens"), F.sum("n_docs")).first()
