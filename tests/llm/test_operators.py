@@ -428,6 +428,26 @@ def test_html_nested_layouts_are_kept_whole():
     assert html_text.extract_text(f"<div><h1>T</h1><ul><li>one</ul><div>{long}{long}</div><ul><li><a href=x>Other page</a></ul></div>") == f"T one {text}{text}".strip()
 
 
+def test_html_loses_no_article_text():
+    text = "A long paragraph, with commas, and text. " * 5
+    assert html_text.extract_text("<p title=it's>Hello, world</p><p>It's fine, really, it is.</p>") == "Hello, world It's fine, really, it is."
+    assert html_text.extract_text(f"<div class=post><div class=x><div class=a><p>{text}</p></div></div><div class=b><p>Short end.</p></div></div>") == f"{text}Short end."
+    page = f'<article><h2 id="related">Related work</h2><p class="notice-board">{text}</p><p>A <label>label</label> <span hidden>not</span><b>stays</b> here.</p></article>'
+    assert html_text.extract_text(page) == f"Related work {text}A label stays here."
+    assert html_text.extract_text(f"<div><p>{text}</p><p class=ad>Buy</p><p><span class='share'>Tweet</span>End</p></div>") == f"{text}End"
+    assert html_text.extract_text("<p>1 < 2 and </ 3 <!-- gone --> <? gone > <b title='open>x</b> y") == "1 < 2 and x y"
+    assert html_text.extract_text("<p>kept</p><a href='x' never ends") == "kept"
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a '", "<p>x<div>", "<b>x", "<td>x<div>", "<!-", "</ ", "<a b='", "<p><td><i>x</b>", "&amp;<", "<ul><li>x"])
+def test_html_is_linear(part):
+    import time
+
+    start = time.process_time()
+    html_text.extract_text(part * 16_000 + "<p>end</p>" * 16_000)
+    assert time.process_time() - start < 3
+
+
 def test_pages_give_their_articles(spark):
     import html
 

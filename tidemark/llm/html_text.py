@@ -2,21 +2,27 @@
 
 A page is cut into tags and text, the tree of block elements is built as browsers close open
 paragraphs, and elements that are no article by tag, role or name (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) go with all that they hold. Each paragraph
-gives points for its length and commas to its parent, half of them to the grandparent, a third to the
-one above. Points are discounted by link density; the best container, or the outermost article or main
-around it, is kept with those siblings that score well or have few links, short ones and headings too. Of what is kept, every block is returned whole and in page order.
-
-Defined results: null or empty html gives empty text; a page without paragraphs gives the text of its
-best block's container; unclosed tags, a cut-off end, equal scores (the first container stays) and
-repeated rows are handled alike each time; other columns are not looked at.
+notices, adverts, forms, scripts, styles, reader comments) go with all that they hold. Names of containers
+count by their parts ("cookie-notice"), those of paragraphs and inline elements as whole classes, and those of headings
+not at all. Each paragraph gives points for its length and commas to its parent, half of them to the grandparent, a third
+to the one above. Points are discounted by link density; the best container, or the outermost article or main
+around it, is kept with those siblings that score well or have few links, short ones and headings too; so it goes on
+upwards while what is kept is half of the next container's text or more. Of what is kept, every block is returned whole
+and in page order.
+
+Each step is linear in the page's length, however deeply elements nest and whatever is left open.
+Defined results: null or empty html gives empty text, an empty table an empty result; a page without paragraphs gives the
+text of its best block's container; a tag that never ends takes the rest of the page, a quote that never ends is no
+quote; equal scores (the first container stays) and repeated rows are handled alike each time; very long pages are
+read whole; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,13 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Where a tag ends, or a quoted value begins, in which it can't.
+STOP = re.compile(r""">|=\s*(["'])""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 #: Their content is text up to their own end tag.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Tags that never hold the article.
-APART = frozenset(("nav", "header", "footer", "aside", "form", "button", "select", "option", "head", "template", "svg", "canvas", "object", "dialog", "menu", "label", "fieldset")) | RAW
+APART = frozenset(("nav", "header", "footer", "aside", "form", "button", "select", "option", "head", "template", "svg", "canvas", "object", "dialog", "menu", "fieldset")) | RAW
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -44,12 +52,14 @@ NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|disqus|footer|foot|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s0-9])",
     re.I,
 )
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "article", "main"))
+CONTAINERS = frozenset(("div", "section", "ul", "ol", "dl", "table", "td", "details", "figure"))
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A sibling stays if it has this share of the best score, or fewer links than this.
 SIBLING_SHARE, SIBLING_LINKS = 0.2, 0.25
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Node:
     tag: str
     parent: Node | None
@@ -57,6 +67,7 @@ class Node:
     points: float = 0.0
     chars: int = 0
     links: int = 0
+    kept: bool = False
     children: list[Node] = field(default_factory=list)
 
     def density(self) -> float:
@@ -80,76 +91,119 @@ def _is_apart(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            return True
+        if name in ("class", "id") and tag not in HEADINGS:
+            if tag in CONTAINERS and NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
+                return True
+            if name == "class" and any(NAMES.fullmatch(x) for x in value.split()):
+                return True
     return False
 
 
-def parse(page: str) -> tuple[Node, list[Block]]:
-    """The tree of block elements, and its blocks of text in page order, without what stands apart."""
+class Scanner:
+    """Tags and text of a page, one pass: what was looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Behind the tag's >, or the page's end."""
+        while (m := STOP.search(self.page, at)) is not None:
+            if m[1] is None:
+                return m.end()
+            at = max(m.end(), self.find(m[1], m.end()) + 1)
+        return len(self.page)
+
+    def parts(self) -> Iterator[tuple[str, str, bool, str]]:
+        """(text before it, tag, whether it closes, attributes); at last the text behind the last tag, and no tag."""
+        page, at, start = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0:
+            after = page[at + 1 : at + 2]
+            if after in ("!", "?") or page.startswith("</", at) and not NAME.match(page, at):
+                if page.startswith("</", at) and not page[at + 2 : at + 3]:
+                    break
+                mark = "-->" if page.startswith("<!--", at) else ">"
+                end = self.find(mark, at + 2)
+                yield page[start:at], "", False, ""
+                at = start = end + len(mark) if end >= 0 else len(page)
+                continue
+            m = NAME.match(page, at)
+            if m is None:
+                at += 1
+                continue
+            end, tag, closing = self.tag_end(m.end()), m[1].lower(), after == "/"
+            yield page[start:at], tag, closing, page[m.end() : end - 1]
+            at = end
+            if tag in RAW and not closing:
+                stop = RAW_END[tag].search(page, at)
+                at = stop.end() if stop else len(page)
+            start = at
+        yield page[start:], "", False, ""
+
+
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+
+
+def parse(page: str) -> tuple[list[Node], list[Block]]:
+    """The block elements in page order, parents before children, and the blocks of text, without what stands apart."""
     root = Node("#root", None)
-    node, blocks, parts = root, [], []
+    nodes, blocks, parts = [root], [], []
+    stack, places = [root], defaultdict(list)
+    inline, opened = [], Counter()
     link, linked, skip_inline = False, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not node.apart:
-                blocks.append(Block(node, text, min(linked, len(text))))
+            if text and not stack[-1].apart:
+                blocks.append(Block(stack[-1], text, min(linked, len(text))))
             parts.clear()
             linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw and not node.apart and not skip_inline:
-            text = html.unescape(raw) if "&" in raw else raw
+    def close(tags: Iterable[str], within: Iterable[str] = ()) -> None:
+        """Closes the nearest open element of ``tags``, unless one of ``within`` was opened in it."""
+        last = lambda names: max((places[t][-1] for t in names if places[t]), default=0)
+        at = last(tags)
+        if at and at > last(within):
+            while len(stack) > at:
+                places[stack.pop().tag].pop()
+
+    for text, tag, closing, attributes in Scanner(page).parts():
+        if text and not stack[-1].apart and not skip_inline:
+            text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if link:
                 linked += len(" ".join(text.split()))
-
-    def close(tags: tuple[str, ...], within: frozenset[str]) -> Node:
-        """The parent of the nearest open element of ``tags``, unless one of ``within`` stands before it."""
-        at = node
-        while at.parent is not None and at.tag not in within:
-            if at.tag in tags:
-                return at.parent
-            at = at.parent
-        return node
-
-    at, end = 0, len(page)
-    inline: list[str] = []
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!]", rest)
-            add(rest[: cut.start()] if cut else rest)
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if not tag or not closing and tag in RAW:
             continue
-        tag, closing = m[2].lower(), m[1] == "/"
-        if not closing and tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
-        elif tag in BLOCKS or tag in APART:
+        if tag in BLOCKS or tag in APART:
             flush()
             inline.clear()
+            opened.clear()
             link, skip_inline = False, 0
             if closing:
-                if tag == "p" or tag not in ("html", "body"):
-                    node = close((tag,), frozenset())
+                if tag not in ("html", "body"):
+                    close((tag,))
                 continue
             if tag in ENDS_PARAGRAPH:
-                node = close(("p",), frozenset(("td", "th", "button")) | APART)
+                close(("p",), ("td", "th", *APART))
             if tag in SAME_ENDS:
-                node = close(SAME_ENDS[tag], frozenset(("ul", "ol", "dl", "table")))
-            child = Node(tag, node, node.apart or _is_apart(tag, m[3]))
-            node.children.append(child)
-            if not m[3].endswith("/") or tag not in ("svg", "canvas", "object"):
-                node = child
+                close(SAME_ENDS[tag], ("ul", "ol", "dl", "table"))
+            parent = stack[-1]
+            child = Node(tag, parent, parent.apart or _is_apart(tag, attributes))
+            parent.children.append(child)
+            nodes.append(child)
+            if not attributes.endswith("/") or tag not in ("svg", "canvas", "object"):
+                places[tag].append(len(stack))
+                stack.append(child)
         elif tag in ("br", "hr"):
             flush()
         elif tag in VOID:
@@ -157,28 +211,33 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         elif closing:
             if tag == "a":
                 link = False
-            if tag in inline:
-                while inline and inline.pop() != tag:
-                    pass
-                skip_inline = min(skip_inline, len(inline)) if skip_inline > len(inline) else skip_inline
+            if opened[tag]:
+                while True:
+                    last = inline.pop()
+                    opened[last] -= 1
+                    if last == tag:
+                        break
+                if len(inline) < skip_inline:
+                    skip_inline = 0
         else:
             inline.append(tag)
+            opened[tag] += 1
             if tag == "a":
                 link = True
-            if not skip_inline and not node.apart and _is_apart(tag, m[3]):
+            if not skip_inline and not stack[-1].apart and _is_apart(tag, attributes):
                 skip_inline = len(inline)
     flush()
-    return root, blocks
+    return nodes, blocks
 
 
 def main_blocks(page: str) -> list[str]:
-    root, blocks = parse(page)
+    nodes, blocks = parse(page)
     for b in blocks:
-        at = b.node
-        while at is not None:
-            at.chars += len(b.text)
-            at.links += b.links
-            at = at.parent
+        b.node.chars += len(b.text)
+        b.node.links += b.links
+    for n in reversed(nodes[1:]):
+        n.parent.chars += n.chars
+        n.parent.links += n.links
     ranked: dict[int, Node] = {}
     for b in blocks:
         if b.node.tag not in PARAGRAPHS and b.node.tag != "li" and b.node.parent is not None:
@@ -200,19 +259,15 @@ def main_blocks(page: str) -> list[str]:
     at = best.parent
     while at is not None:
         best, at = at if at.tag in ("article", "main") else best, at.parent
-    keep = {id(best)}
-    if best.parent is not None and best.tag not in ("article", "main", "body"):
-        least = max(2.0, SIBLING_SHARE * best.score())
-        keep |= {id(s) for s in best.parent.children if not s.apart and (s.score() >= least or s.density() < SIBLING_LINKS)}
-
-    def inside(n: Node | None) -> bool:
-        while n is not None:
-            if id(n) in keep:
-                return True
-            n = n.parent
-        return False
-
-    return [b.text for b in blocks if inside(b.node)]
+    best.kept = True
+    least, at = max(2.0, SIBLING_SHARE * best.score()), best
+    while at.parent is not None and at.tag not in ("article", "main", "body") and (at is best or 2 * at.chars >= at.parent.chars):
+        for s in at.parent.children:
+            s.kept |= s is not at and not s.apart and (s.score() >= least or s.density() < SIBLING_LINKS)
+        at = at.parent
+    for n in nodes[1:]:
+        n.kept |= n.parent.kept
+    return [b.text for b in blocks if b.node.kept]
 
 
 def extract_text(page: str) -> str:
