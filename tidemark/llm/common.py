@@ -74,6 +74,11 @@ def _marked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return marked.withColumn("_byte", byte).select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(bit, F.lit(False)).alias("_near"))
 
 
+def not_broadcast(df: DataFrame) -> DataFrame:
+    """For tables of locators: their files compress so well that Spark, judging by file size, would broadcast millions of them."""
+    return df.hint("merge")
+
+
 def may_match(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` that the bit map of the ids lets through: all whose key is among them, few others
     unless there are very many ids. A join that follows shuffles only these."""
@@ -82,13 +87,13 @@ def may_match(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is among ``ids`` (null: never)."""
-    return may_match(df, ids, key).join(ids.select(key), key, "left_semi")
+    return may_match(df, ids, key).join(not_broadcast(ids.select(key)), key, "left_semi")
 
 
 def anti_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not among ``ids``; what the bit map excludes passes without a shuffle."""
     marked = _marked(df, ids, key)
-    return marked.filter("not _near").drop("_near").unionByName(marked.filter("_near").drop("_near").join(ids.select(key), key, "left_anti").select(df.columns))
+    return marked.filter("not _near").drop("_near").unionByName(marked.filter("_near").drop("_near").join(not_broadcast(ids.select(key)), key, "left_anti").select(df.columns))
 
 
 def text_groups(batch, size: int = 1 << 21):

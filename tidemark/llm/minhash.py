@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.components import connected
 from tidemark.storage import Staging
 
-from .common import anti_join, documents, hot_safe_join, located, locator, map_texts, may_match, packed
+from .common import anti_join, documents, hot_safe_join, located, locator, map_texts, may_match, not_broadcast, packed
 
 HASHES, MISS = 256, 1e-5
 #: A block has this many documents, or shingles, on average at most.
@@ -267,7 +267,7 @@ def _links(stage: Staging, docs: DataFrame, reps: DataFrame, k: int, percent: in
     n = shape.agg(F.sum("size")).first()[0]
     placed = hot_safe_join(sizes, shape, "gid", F.col("size"), n).withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     placed = stage.table(placed.select("rid", "locator", "gid", "blk", "blocks"), "placed")
-    texts = may_match(docs.select(F.col("row.locator").alias("locator"), "text"), placed, "locator").join(placed.select("locator", "rid"), "locator")
+    texts = may_match(docs.select(F.col("row.locator").alias("locator"), "text"), placed, "locator").join(not_broadcast(placed.select("locator", "rid")), "locator")
     sets = full_sets(texts.select(F.col("rid").alias("key"), "text"), k).withColumnRenamed("key", "rid")
     member = placed.drop("locator").join(reps.select("rid", "n_shingles", "signature"), "rid").join(sets, "rid")
     member = stage.table(member.select("gid", "blk", "blocks", "rid", "n_shingles", "signature", "shingles"), "sets")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import Staging
 
-from .common import anti_join, documents, hot_safe_join, located, locator, may_match, packed, words
+from .common import anti_join, documents, hot_safe_join, located, locator, may_match, not_broadcast, packed, words
 
 #: Weights of the query and the pipeline by path; children that are not named weigh 1.
 WEIGHTS = {"domain0": 4.0, "domain1": 2.0, "domain0/en": 3.0, "domain0/de": 2.0, "domain1/en": 2.0, "domain2/en": 2.0, "domain3/fr": 2.0}
@@ -116,11 +116,11 @@ def keep(docs: DataFrame, budget_share: float = 0.9, max_epochs: int = 1, **more
     times = mix(docs, budget_share=budget_share, max_epochs=max_epochs, stage=stage, **more).groupBy(F.col("locator").alias("_locator")).agg(F.count("*").alias("_times"))
     kept = Staging(docs.sparkSession, "mixed")
     times = kept.table(times, "times")
-    gone = kept.table(docs.select(locator(docs).alias("_locator")).join(times, "_locator", "left_anti"), "gone")
+    gone = kept.table(docs.select(locator(docs).alias("_locator")).join(not_broadcast(times), "_locator", "left_anti"), "gone")
     again = kept.table(times.filter("_times > 1"), "again")
     stage.drop()
     rows = packed(docs)
-    extra = may_match(rows, again, "_locator").join(again, "_locator").select("_row", F.explode(F.sequence(F.lit(2), F.col("_times").cast("int"))))
+    extra = may_match(rows, again, "_locator").join(not_broadcast(again), "_locator").select("_row", F.explode(F.sequence(F.lit(2), F.col("_times").cast("int"))))
     return anti_join(rows, gone, "_locator").select("_row.*").unionByName(extra.select("_row.*"))
 
 
