@@ -15,5 +15,6 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() >= 0
+    found = entry.entry(spark)
+    assert found.count() > 0 and {r.f_type for r in found.collect()} <= {"enter", "exit"}
     assert set(entry.oracle_sql()) <= set(entry.queries())

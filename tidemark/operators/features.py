@@ -6,6 +6,7 @@ windows that occur are produced; a missing row stands for the value 0.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,30 @@ ENTITY = ["f_type", "comp_type", "e1", "e2"]
 KEYS = [*ENTITY, "w1", "w2"]
 
 
+@dataclass(frozen=True)
+class Scope:
+    """Which entities are looked at: activities and the segments among them, resources, and frequent segments. None is
+    all of them. Events and steps stay as they are, so the values of what is left do not change."""
+
+    activities: tuple[str, ...] | None = None
+    resources: tuple[str, ...] | None = None
+    segments: DataFrame | None = None
+
+    def of(self, rows: DataFrame, f_type: str) -> DataFrame:
+        if f_type in ("exec", "to-exec"):
+            return rows if self.activities is None else rows.filter(F.col("e1").isin(list(self.activities)))
+        if f_type in ("do", "todo", "busy"):
+            return rows if self.resources is None else rows.filter(F.col("e1").isin(list(self.resources)))
+        if self.activities is not None:
+            rows = rows.filter(F.col("e1").isin(list(self.activities)) & F.col("e2").isin(list(self.activities)))
+        if self.segments is not None:
+            rows = rows.join(self.segments.select(F.col("a_i").alias("e1"), F.col("a_j").alias("e2")), ["e1", "e2"], "left_semi").select(rows.columns)
+        return rows
+
+
+ALL = Scope()
+
+
 def instances(f_type: str, log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed") -> DataFrame:
     """Rows (keys, case_id, w_i, w_j, r_i, r_j, wait) of one feature; log and steps have window numbers.
 
@@ -104,10 +129,10 @@ def evaluate(rows: DataFrame, f_type: str) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.round(_value(f_type).cast("double"), 6).alias("value"), F.count("*").alias("n"), F.min("w_i").alias("w_i_min"), F.max("w_i").alias("w_i_max"), F.min("w_j").alias("w_j_min"), F.max("w_j").alias("w_j_max"))
 
 
-def values(features: tuple[str, ...], log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed") -> DataFrame:
+def values(features: tuple[str, ...], log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed", scope: Scope = ALL) -> DataFrame:
     """Values of the chosen features alone: others' branches are not in the plan."""
-    return reduce(DataFrame.unionByName, [evaluate(instances(x, log, steps, f, compat), x) for x in features])
+    return reduce(DataFrame.unionByName, [evaluate(scope.of(instances(x, log, steps, f, compat), x), x) for x in features])
 
 
-def all_instances(features: tuple[str, ...], log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed") -> DataFrame:
-    return reduce(DataFrame.unionByName, [instances(x, log, steps, f, compat) for x in features])
+def all_instances(features: tuple[str, ...], log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed", scope: Scope = ALL) -> DataFrame:
+    return reduce(DataFrame.unionByName, [scope.of(instances(x, log, steps, f, compat), x) for x in features])

@@ -109,8 +109,8 @@ def significance(paths: DataFrame, partition: DataFrame, parts: int, method: str
     return counted.withColumn("significant", F.coalesce(F.col("p") <= level, F.lit(False)))
 
 
-def result_table(paths: DataFrame, partition: DataFrame, parts: int, names: list[str]) -> DataFrame:
+def result_table(paths: DataFrame, partition: DataFrame, parts: int, names: list[str], level: float = 0.05) -> DataFrame:
     """Significant paths alone, with a column for each cell of their table."""
-    found = significance(paths, partition, parts).filter("significant")
+    found = significance(paths, partition, parts, level=level).filter("significant")
     cells = [F.col("table")[r][p].alias(f"{who}_{name}") for r, who in ((0, "part"), (1, "nonpart")) for p, name in enumerate(names)]
     return found.select("length", "frequency", "path", *cells, F.round("p", 9).alias("p"))

@@ -18,22 +18,21 @@ class Prepared:
     log: DataFrame
     steps: DataFrame
     frame: windows.Frame
+    scope: features.Scope = features.ALL
 
 
-def prepare(log: DataFrame, width: str | int = "days", ties: bool = True, compat: str = "fixed", segments: DataFrame | None = None) -> Prepared:
+def prepare(log: DataFrame, width: str | int = "days", ties: bool = True, compat: str = "fixed", scope: features.Scope = features.ALL) -> Prepared:
     stage = Staging(log.sparkSession, "log")
     f = windows.frame(log, width, compat)
     events = stage.table(windows.with_windows(log, f), "events")
     pairs = steps.directly_follows(log, ties=ties)
-    if segments is not None:
-        pairs = steps.surviving_steps(pairs, segments)
-    return Prepared(events, stage.table(windows.steps_with_windows(pairs, f), "steps"), f)
+    return Prepared(events, stage.table(windows.steps_with_windows(pairs, f), "steps"), f, scope)
 
 
 def high_level_events(p: Prepared, chosen: tuple[str, ...], share: float = 0.9, by: str = "type", traffic: tuple[str, ...] = ("High",), compat: str = "fixed") -> tuple[DataFrame, DataFrame]:
     """Values and the high-level events among them, staged. With 'Low' asked for, zeros below a threshold count too."""
     stage = Staging(p.log.sparkSession, "hle")
-    vals = stage.table(features.values(chosen, p.log, p.steps, p.frame, compat), "values")
+    vals = stage.table(features.values(chosen, p.log, p.steps, p.frame, compat, p.scope), "values")
     limits = stage.table(detect.thresholds(vals, share, by), "limits")
     found = detect.detect(vals, limits, traffic, by)
     if "Low" in traffic and by == "type":
@@ -41,9 +40,10 @@ def high_level_events(p: Prepared, chosen: tuple[str, ...], share: float = 0.9,
     return vals, stage.table(found, "hles")
 
 
-def cascade_log(log: DataFrame, width: str | int = "days", chosen: tuple[str, ...] = features.LOG_FEATURES, share: float = 0.9, by: str = "type", traffic: tuple[str, ...] = ("High",), least_link: float = 0.5, frequency: float = 0, flat: bool = True, only_component: bool = False, ties: bool = True, compat: str = "fixed") -> DataFrame:
-    """The high-level log: events, steps, features, high-level events, links, cascades, table."""
-    p = prepare(log, width, ties, compat)
+def cascade_log(log: DataFrame, width: str | int = "days", chosen: tuple[str, ...] = features.LOG_FEATURES, share: float = 0.9, by: str = "type", traffic: tuple[str, ...] = ("High",), least_link: float = 0.5, frequency: float = 0, flat: bool = True, only_component: bool = False, ties: bool = True, compat: str = "fixed", activities: tuple[str, ...] | None = None, resources: tuple[str, ...] | None = None) -> DataFrame:
+    """The high-level log: events, steps, features, high-level events, links, cascades, table. ``activities`` and
+    ``resources`` choose whose features are looked at (no resources: no features of resources)."""
+    p = prepare(log, width, ties, compat, features.Scope(activities, resources))
     _, hles = high_level_events(p, chosen, share, by, traffic, compat)
     linked = link.spread(link.links(p.log, p.steps))
     cascades = cascade.cascades(hles, linked, least_link)
@@ -62,13 +62,14 @@ class Paths:
     hla: DataFrame
 
 
-def path_analysis(log: DataFrame, width: str | int = "days", chosen: tuple[str, ...] = features.PATH_FEATURES, share: float = 0.9, by: str = "type", traffic: tuple[str, ...] = ("High",), least_overlap: float = 0.5, least_path_overlap: float = 0.5, path_frequency: int = 0, segment_share: float = 0.8, only_maximal: bool = True, ties: bool = True, compat: str = "fixed") -> Paths:
-    """High-level events of frequent segments, their overlaps, the paths along them, and their activities."""
+def path_analysis(log: DataFrame, width: str | int = "days", chosen: tuple[str, ...] = features.PATH_FEATURES, share: float = 0.9, by: str = "type", traffic: tuple[str, ...] = ("High",), least_overlap: float = 0.5, least_path_overlap: float = 0.5, path_frequency: int = 0, segment_share: float = 0.8, only_maximal: bool = True, ties: bool = True, compat: str = "fixed", activities: tuple[str, ...] | None = None, resources: tuple[str, ...] | None = None) -> Paths:
+    """High-level events of frequent segments, their overlaps, the paths along them, and their activities. ``activities``
+    and ``resources`` choose whose features are looked at; ``segment_share`` restricts features of segments alone."""
     kept = steps.frequent_segments(log, segment_share, compat) if segment_share > 0 else None
-    p = prepare(log, width, ties, compat, kept)
+    p = prepare(log, width, ties, compat, features.Scope(activities, resources, kept))
     stage = Staging(log.sparkSession, "analysis")
     _, hles = high_level_events(p, chosen, share, by, traffic, compat)
-    cases = stage.table(detect.case_sets(hles, features.all_instances(chosen, p.log, p.steps, p.frame, compat)), "cases")
+    cases = stage.table(detect.case_sets(hles, features.all_instances(chosen, p.log, p.steps, p.frame, compat, p.scope)), "cases")
     arcs = stage.table(overlap.arcs(overlap.spreads(hles), cases, least_overlap), "arcs")
     usable = paths.prune_arcs(arcs, least_path_overlap) if least_path_overlap > least_overlap else arcs
     found = stage.table(paths.hle_paths(hles.select("hle_id"), usable, cases, least_path_overlap, only_maximal), "paths")

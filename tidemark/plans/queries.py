@@ -185,6 +185,11 @@ def _borders(name: str, unit: str, compat: str, back: int) -> None:
         return windows.frame(_log(spark, sf_dir), unit, compat).borders(spark)
 
 
+@query("win_borders_by_count", sql.query(f"SELECT w, start + w * size AS left_s, start + (w + 1) * size AS right_s FROM (SELECT *, unnest(range(0, CAST(greatest(1, ceil((stop - start) / size)) AS BIGINT))) AS w FROM ({_SIZE}))", "bounds"))
+def win_borders_by_count(spark, sf_dir):
+    return windows.frame(_log(spark, sf_dir), 12).borders(spark)
+
+
 _borders("win_borders_days", "days", "fixed", 0)
 _borders("win_borders_days_reference", "days", "reference", 1)
 _borders("win_borders_hours", "hours", "fixed", 1)
@@ -210,6 +215,56 @@ for _f in features.FEATURES:
     _feature(_f)
 
 
+#: A choice of entities for both analyses.
+CHOSEN = features.Scope(("view", "click"), ("R0", "R1"))
+
+
+def _selected(f_type: str, where: str) -> None:
+    n = sql.name(f_type)
+
+    @query(f"feature_{n}_selected", sql.query(f"SELECT {', '.join(VALUE)} FROM v_{n} WHERE {where}", f"v_{n}"))
+    def value(spark, sf_dir):
+        p = _day(spark, sf_dir)
+        return features.values((f_type,), p.log, p.steps, p.frame, scope=CHOSEN).select(VALUE)
+
+
+for _f, _where in {"exec": "e1 IN ('view', 'click')", "do": "e1 IN ('R0', 'R1')", "enter": "e1 IN ('view', 'click') AND e2 IN ('view', 'click')", "handover": "e1 IN ('view', 'click') AND e2 IN ('view', 'click')"}.items():
+    _selected(_f, _where)
+_FREQUENT = "SEMI JOIN (SELECT a_i AS e1, a_j AS e2 FROM segs WHERE c >= (SELECT quantile_cont(c, 0.8) FROM segs)) USING (e1, e2)"
+
+
+def _reduced(f_type: str, which: str) -> None:
+    n = sql.name(f_type)
+
+    @query(f"feature_{n}_frequent_segments", sql.query(f"SELECT {', '.join(VALUE)} FROM v_{n} {which}", f"v_{n}", "segs"))
+    def value(spark, sf_dir):
+        p = _day(spark, sf_dir)
+        scope = features.Scope(segments=steps.frequent_segments(_log(spark, sf_dir), 0.8))
+        return features.values((f_type,), p.log, p.steps, p.frame, scope=scope).select(VALUE)
+
+
+for _f, _which in {"todo": "", "busy": "", "enter": _FREQUENT, "batch": _FREQUENT}.items():
+    _reduced(_f, _which)
+
+
+def _tied_reference(f_type: str, rows: str) -> None:
+    """Reference mode on a log whose times tie by day: events count once for each of their steps."""
+    name = sql.name(f_type)
+
+    @query(f"feature_{name}_reference", sql.query(f"SELECT '{f_type}' AS f_type, e1, w1, CAST(count(*) AS DOUBLE) AS value FROM ({rows}) GROUP BY e1, w1", "wt_steps", "wt_ends"))
+    def value(spark, sf_dir):
+        log = logs.from_events(spark, sf_dir, "day")
+        f = windows.frame(log, "days")
+        made = windows.steps_with_windows(steps.partial_order(log), f)
+        return features.values((f_type,), windows.with_windows(log, f), made, f, "reference").select("f_type", "e1", "w1", "value")
+
+
+_DONE = "SELECT {s} AS e1, w_i AS w1 FROM wt_steps UNION ALL SELECT {e}, w FROM wt_ends"
+_tied_reference("exec", _DONE.format(s="a_i", e="act"))
+_tied_reference("do", _DONE.format(s="r_i", e="res"))
+_tied_reference("busy", _DONE.format(s="r_i", e="res") + " UNION ALL SELECT r_j, unnest(range(w_i, w_j)) FROM wt_steps WHERE w_i < w_j")
+
+
 @query("feature_to_exec_reference", sql.query("SELECT 'to-exec' AS f_type, 'activity' AS comp_type, e AS e1, NULL AS e2, w AS w1, w AS w2, 1.0 + coalesce(value, 0) AS value FROM (SELECT e, w FROM acts, (SELECT unnest(range(0, (SELECT max(w) + 1 FROM wl))) AS w)) g LEFT JOIN v_to_exec v ON v.e1 = g.e AND v.w1 = g.w", "acts", "wl", "v_to_exec"))
 def feature_to_exec_reference(spark, sf_dir):
     p = _day(spark, sf_dir)
@@ -352,6 +407,15 @@ def hl_log_flat(spark, sf_dir):
     return hl_log.flat_log(found, cascades, detect.filter_hla(found, 0), windows.frame(_log(spark, sf_dir))).withColumn("at_s", F.round("at_s", 3))
 
 
+_FLAT_REFERENCE = "SELECT \"cascade\" AS \"case\", l.activity, round((d + w1) * 86400.0 + CAST(i - 1 AS DOUBLE) / n * 86400.0, 3) AS at_s, value, component FROM (SELECT \"cascade\", w1, value, comp_type AS component, row_number() OVER (PARTITION BY w1 ORDER BY hle_id) AS i, count(*) OVER (PARTITION BY w1) AS n FROM labelled) JOIN (SELECT w1, activity, row_number() OVER (PARTITION BY w1 ORDER BY activity, hle_id) AS i FROM labelled) l USING (w1, i), (SELECT " + sql.number("lo") + " AS d FROM bounds)"
+
+
+@query("hl_log_flat_reference", sql.query(_FLAT_REFERENCE, "labelled", "bounds"))
+def hl_log_flat_reference(spark, sf_dir):
+    found, cascades = _cascades(spark, sf_dir)
+    return hl_log.flat_log(found, cascades, detect.filter_hla(found, 0), windows.frame(_log(spark, sf_dir)), compat="reference").withColumn("at_s", F.round("at_s", 3))
+
+
 @query("hle_spread", sql.query("SELECT hle_id, start_first, start_last, end_first, end_last FROM spans", "spans"))
 def hle_spread(spark, sf_dir):
     return overlap.spreads(_hles(spark, sf_dir, features.PATH_FEATURES)).select("hle_id", "start_first", "start_last", "end_first", "end_last")
@@ -369,6 +433,27 @@ def hle_overlap_edges(spark, sf_dir):
     return _overlaps(spark, sf_dir)[2]
 
 
+@query("overlap_components", sql.query("SELECT a AS hle_id, min(b) AS component FROM joined GROUP BY a", "joined"))
+def overlap_components(spark, sf_dir):
+    found, _, arcs = _overlaps(spark, sf_dir)
+    return cascade.components_of(arcs, found)
+
+
+@query("hle_table", sql.query("SELECT hle_id AS \"hle-id\", f_type AS type, e1 || ',' || e2 AS segment, f_type || ':' || e1 || ',' || e2 AS activity, value, CASE WHEN w1 = w2 THEN CAST(w1 AS VARCHAR) ELSE w1 || ',' || w2 END AS \"window\" FROM path_hles_type", "path_hles_type"))
+def hle_table(spark, sf_dir):
+    from .analyses import hle_table as table
+
+    return table(_hles(spark, sf_dir, features.PATH_FEATURES))
+
+
+@query("time_overlaps", sql.query("SELECT a.hle_id AS src, b.hle_id AS dst FROM spans a JOIN spans b ON a.e2 = b.e1 AND a.e1 = 'view' AND a.end_first <= b.start_last AND b.start_first <= a.end_last", "spans"))
+def time_overlaps(spark, sf_dir):
+    found = overlap.spreads(_hles(spark, sf_dir, features.PATH_FEATURES))
+    a = found.filter("e1 = 'view'").select(F.col("hle_id").alias("src"), F.col("e2").alias("at"), "end_first", "end_last")
+    b = found.select(F.col("hle_id").alias("dst"), F.col("e1").alias("at"), "start_first", "start_last")
+    return a.join(b, "at").filter(overlap.windows_overlap("end_first", "end_last", "start_first", "start_last")).select("src", "dst")
+
+
 def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found, cases, arcs = _overlaps(spark, sf_dir)
     return found, paths.hle_paths(found.select("hle_id"), arcs, cases, OVERLAP)
@@ -453,7 +538,23 @@ def chi_square(spark, sf_dir):
     return found.select(_shown("path").alias("path"), *cells, F.round("chi_square", 6).alias("chi_square"), F.round("p", 6).alias("p"))
 
 
-@query("fisher_exact")
+_RESULT = f"SELECT h.length, h.frequency, path, n00 AS part_a, n01 AS part_b, n02 AS part_c, n10 AS nonpart_a, n11 AS nonpart_b, n12 AS nonpart_c, round(exp(-({_CHI}) / 2), 6) AS p FROM ({_TABLE}) JOIN (SELECT path, length, frequency FROM hla) h USING (path) WHERE n00 + n01 + n02 + n10 + n11 + n12 > 0 AND round(exp(-({_CHI}) / 2), 9) <= 0.5"
+
+
+@query("result_table", sql.query(_RESULT, "hla", "pool", "parts_time"))
+def result_table(spark, sf_dir):
+    """At a level of 0.5, as the test log's paths depend on nothing."""
+    found = stats.result_table(_statistics(spark, sf_dir), stats.throughput_partition(_log(spark, sf_dir)), 3, ["a", "b", "c"], 0.5)
+    return found.withColumns({"path": _shown("path"), "p": F.round("p", 6)})
+
+
+_lg = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+_FISHER = f"""SELECT path, round(least(1.0, sum(exp(l)) FILTER (l <= here + 1e-7)), 6) AS p, round(least(1.0, sum(exp(l)) FILTER (l <= here + 1e-7)), 9) <= 0.05 AS significant FROM (
+ SELECT path, {_lg("r", "x")} + {_lg("s", "(n - x)")} - {_lg("(r + s)", "n")} AS l, {_lg("r", "a")} + {_lg("s", "(n - a)")} - {_lg("(r + s)", "n")} AS here FROM (
+ SELECT path, a, r, s, n, unnest(range(greatest(0, n - s), least(r, n) + 1)) AS x FROM (SELECT path, n00 AS a, n00 + n01 AS r, n10 + n11 AS s, n00 + n10 AS n FROM ({_TABLE.replace("parts_time t", "(SELECT case_id, CASE WHEN floor((max(us) - min(us)) / 86400000000.0) <= 28 THEN 0 ELSE 1 END AS part FROM log GROUP BY case_id) t")})))) GROUP BY path"""
+
+
+@query("fisher_exact", sql.query(_FISHER, "hla", "pool", "log"))
 def fisher(spark, sf_dir):
     found = stats.significance(_statistics(spark, sf_dir), stats.throughput_partition(_log(spark, sf_dir), (28, 29)).withColumn("part", F.least("part", F.lit(1))), 2, "fisher")
     return found.select(_shown("path").alias("path"), F.round("p", 6).alias("p"), "significant")

@@ -184,7 +184,12 @@ CTE["hla"] = ("SELECT array_to_string(hla, '>') AS path, any_value(len(hla)) AS
 CTE["pool"] = ("SELECT h.path, c.case_id FROM hla h JOIN flows c ON len(list_filter(range(1, len(c.flow) + 1), lambda i: c.flow[i:i + len(h.run) - 1] = h.run)) > 0", ("hla", "flows"))
 CTE["parts_time"] = ("SELECT case_id, CASE WHEN d <= 10 THEN 0 WHEN d < 30 THEN 1 ELSE 2 END AS part FROM (SELECT case_id, floor((max(us) - min(us)) / 86400000000.0) AS d FROM log GROUP BY case_id)", ("log",))
 CTE["parts_outcome"] = ("SELECT case_id, CASE WHEN bool_or(act = 'purchase') THEN 0 ELSE 1 END AS part FROM log GROUP BY case_id", ("log",))
-RECURSIVE = ("reach", "walk")
+CTE["joined"] = ("SELECT hle_id AS a, hle_id AS b FROM path_hles_type UNION SELECT r.a, e.v FROM joined r JOIN (SELECT src AS u, dst AS v FROM arcs UNION ALL SELECT dst, src FROM arcs) e ON e.u = r.b", ("arcs", "path_hles_type"))
+_DAY = "CAST(floor(us / 86400000000.0) AS BIGINT) - (SELECT CAST(floor(min(us) / 86400000000.0) AS BIGINT) FROM tied)"
+CTE["wt_tied"] = (f"SELECT *, {_DAY} AS w FROM tied", ("tied",))
+CTE["wt_steps"] = ("SELECT i.case_id, i.pos AS pos_i, i.act AS a_i, j.act AS a_j, i.res AS r_i, j.res AS r_j, i.w AS w_i, j.w AS w_j FROM wt_tied i JOIN wt_tied j ON i.case_id = j.case_id AND i.tie + 1 = j.tie", ("wt_tied",))
+CTE["wt_ends"] = ("SELECT * FROM wt_tied l WHERE NOT EXISTS (SELECT 1 FROM wt_steps s WHERE s.case_id = l.case_id AND s.pos_i = l.pos)", ("wt_tied", "wt_steps"))
+RECURSIVE = ("reach", "walk", "joined")
 
 
 def query(select: str, *needs: str) -> str:
@@ -200,5 +205,5 @@ def query(select: str, *needs: str) -> str:
     for n in needs:
         visit(n)
     recursive = "RECURSIVE " if any(n in RECURSIVE for n in order) else ""
-    columns = {"reach": "reach(a, b)", "walk": "walk(path, last, cases)"}
+    columns = {"reach": "reach(a, b)", "walk": "walk(path, last, cases)", "joined": "joined(a, b)"}
     return f"WITH {recursive}" + ",\n".join(f"{columns.get(n, n)} AS ({CTE[n][0]})" for n in order) + "\n" + select

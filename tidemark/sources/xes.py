@@ -23,29 +23,32 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xes(spark: SparkSession, path: str, trace_attributes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """A log: case_id is the trace's concept:name (its number if it has none); case_idx keeps the file's order.
+    """A log: case_id is the trace's number in the order of the file (gapped), as traces may share a name or have none;
+    case_name is its concept:name. ``pos`` counts all of the trace's events; those without an activity or a readable
+    time are left out.
 
     ``trace_attributes`` names further columns by (type, key), such as {"amount": ("float", "RequestedAmount")}.
     """
     extra = {n: attribute(None, k, key) for n, (k, key) in (trace_attributes or {}).items()}
     traces = read_traces(spark, path)
     # attributes of the trace are read before its events are: an explode in the same step would number events
-    traces = traces.withColumn("case_id", F.coalesce(attribute(None, "string", "concept:name"), F.col("trace").cast("string"))).withColumns(extra)
-    events = traces.select("case_id", F.col("trace").alias("case_idx"), *extra, F.posexplode("event").alias("pos", "e"))
+    traces = traces.withColumn("case_name", attribute(None, "string", "concept:name")).withColumns(extra)
+    events = traces.select("case_name", F.col("trace").alias("case_id"), *extra, F.posexplode("event").alias("pos", "e"))
     return events.select(
         "case_id",
         F.col("pos").cast("long").alias("pos"),
         attribute("e", "string", "concept:name").alias("act"),
         attribute("e", "string", "org:resource").alias("res"),
-        F.unix_micros(F.to_timestamp(attribute("e", "date", "time:timestamp"))).alias("us"),
+        F.unix_micros(F.try_to_timestamp(attribute("e", "date", "time:timestamp"))).alias("us"),
         attribute("e", "string", "lifecycle:transition").alias("lifecycle"),
-        "case_idx",
+        "case_name",
         *extra,
-    )
+    ).filter("act is not null and us is not null")
 
 
 def to_traces(log: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    """A log nested as XES traces: (string, event), events in order of time and position."""
+    """A log nested as XES traces: (string, event), events in order of time and position. A trace is named by its
+    case_name if the log has one, else by its case_id."""
     def pair(key: str, value: Column) -> Column:
         return F.struct(F.lit(key).alias("_key"), value.cast("string").alias("_value"))
 
@@ -54,8 +57,9 @@ def to_traces(log: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
         strings.append(pair("org:resource", F.col("res")))
     when = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     event = F.struct(F.filter(F.array(*strings), lambda a: a["_value"].isNotNull()).alias("string"), F.array(pair("time:timestamp", when)).alias("date"))
-    nested = log.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("us", "pos", event.alias("e")))).alias("es"))
-    return nested.select(F.array(pair("concept:name", F.col("case_id"))).alias("string"), F.transform("es", lambda x: x["e"]).alias("event"))
+    name = F.first("case_name") if "case_name" in log.columns else F.first("case_id")
+    nested = log.groupBy("case_id").agg(name.alias("name"), F.sort_array(F.collect_list(F.struct("us", "pos", event.alias("e")))).alias("es"))
+    return nested.select(F.filter(F.array(pair("concept:name", F.col("name"))), lambda a: a["_value"].isNotNull()).alias("string"), F.transform("es", lambda x: x["e"]).alias("event"))
 
 
 def write_xes(log: DataFrame, path: str, extra: dict[str, str] | None = None) -> None:
@@ -64,6 +68,10 @@ def write_xes(log: DataFrame, path: str, extra: dict[str, str] | None = None) ->
 
 
 def trace_order(log: DataFrame) -> DataFrame:
-    """Dense numbers of the traces in file order, where gapped ones will not do; one small row a case is sorted."""
-    cases = log.select("case_id", "case_idx").distinct()
-    return cases.withColumn("number", F.dense_rank().over(Window.orderBy("case_idx")) - 1)
+    """Dense numbers of the traces in file order, where gapped ones will not do: numbers within each part of the
+    file, plus the cases of the parts before it. Only the parts' counts, one row each, meet in one task."""
+    cases = log.select("case_id").distinct().withColumn("_part", F.shiftright("case_id", 33))
+    counts = cases.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("case_id")) - 1
+    return cases.withColumn("_i", inside).join(counts.select("_part", before.alias("_before")), "_part").select("case_id", (F.col("_before") + F.col("_i")).alias("number"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a local folder only where none is set, as in tests."""
+    """spark.checkpoint.dir as the session has it; a local folder only where none is set and the master is local, as in tests."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -26,8 +29,8 @@ class Staging:
     """Writes tables and reads them again, which cuts lineage; a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
         """``name`` tells people whose tables these are; the folder is deleted when the process ends."""
+        self.spark = spark
         self.base = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
