@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -106,6 +107,23 @@ def test_markov_models_tell_random_from_ordinary():
     assert [text[a:b] for a, _, b in d.spans(text, base)] == [strings[0]] and len(base) == 1
 
 
+def test_planted_secrets_are_found_and_ordinary_tokens_left(texts):
+    """Held-out strings of shapes and a seed that training never saw, beside base spans too; false spans in ordinary texts."""
+    d = secrets.train(secrets.labelled_samples(list(texts.values())[::2]))
+    rng = random.Random(99)
+    shapes = {"base62": string.ascii_letters + string.digits, "base36": string.ascii_lowercase + string.digits, "url": string.ascii_letters + string.digits + "-_", "hex": "0123456789abcdef"}
+    for alphabet, least in ((shapes["base62"], 0.9), (shapes["base36"], 0.9), (shapes["url"], 0.9), (shapes["hex"], 0.8)):
+        for length, share in ((12, 0.5), (16, 0.8), (24, least), (31, least)):
+            made = ["".join(rng.choices(alphabet, k=length)) for _ in range(200)]
+            hits = sum(bool(d.spans(f"use {s} here", [])) for s in made)
+            assert hits >= share * 200, (alphabet, length, hits)
+    run = "x" * 3 + "0123456789abcdef" * 2 + "Zq8Lw3Rt7Yb2Nc5K"
+    base = secrets.base_spans(run)
+    assert [run[a:b] for a, _, b in d.spans(run, base)] == ["Zq8Lw3Rt7Yb2Nc5K"]
+    clean = [t for t in list(texts.values())[1::2] if t]
+    assert sum(len(d.spans(t, secrets.base_spans(t))) for t in clean) <= 2
+
+
 # 2, 3, 4, 10: SQL
 
 
@@ -400,11 +418,50 @@ def test_long_runs_stay_linear():
     secrets.base_spans("token" * 40_000 + "a" * 200_000)
 
 
-def test_skip_chain_labels_repeated_values():
-    field = pii.train([f"Call +1 (974) 555-{i:04d} or +1 (974) 555-{i:04d} now, from 10.0.0.{i % 250}." for i in range(200)])
-    text = "Call +1 (974) 555-3436 now. " + "word " * 200 + "or 1 974 555 3436 later; serial 9747771234"
-    added = field.spans(text, pii.base_spans(text))
-    assert [(text[a:b], pii.KINDS[k]) for a, k, b in added] == [("1 974 555 3436", "phone")]
+def test_skip_chain_labels_repeated_and_similar_values():
+    """Each distant token alone is nobody's; tied to a match it gets the match's label, in every mention."""
+    field = pii.train([f"Call +1 (974) 555-{i:04d} or write to person.{i}@mail.example now, from 10.0.0.{i % 250}; serial {i * 7919 + 10**9}" for i in range(200)])
+    found = lambda t: [(t[a:b], pii.KINDS[k]) for a, k, b in field.spans(t, pii.base_spans(t))]
+    far = " " + "word " * 200
+    for token in ("1 974 555 3436", "974 555 3436", "9745553436"):
+        assert found(f"Call now.{far}or {token} later") == []
+        assert found(f"Call +1 (974) 555-3436 now.{far}or {token} later; serial 9747771234") == [(token, "phone")]
+    assert found(f"Ask ann.smith@mail.example.{far}or ann.smith@mail later, not bob.jones@mail") == [("ann.smith@mail", "email")]
+    many = f"Call +1 (974) 555-3436 now." + f"{far}or 974 555 3436" * 40
+    assert found(many) == [("974 555 3436", "phone")] * 40
+
+
+def test_marginals_equal_brute_force():
+    """On trees (one tie, no chain) sum-product is exact: against all assignments of labels."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    size = pii.OTHER + 1
+    field = pii.SkipChain(rng.normal(size=(len(pii.features("0")), size)), np.zeros((size, size)), rng.normal(size=(len(pii.TIES), size, size)))
+    field.skip = field.skip + field.skip.transpose(0, 2, 1)
+    texts = ["+1 974 555 3436", "974 555 3436", "9745553436"]
+    c = pii.Candidates([(0, 1)] * 3, [3, pii.OTHER, pii.OTHER], [True, False, False], [[(1, "5553436")]] * 3)
+    unary = np.array([pii.features(t) for t in texts]) @ field.node
+    total = np.zeros((3, size))
+    for labels in itertools.product(range(size), repeat=4):
+        if labels[0] == 3:
+            w = math.exp(sum(unary[i, labels[i]] for i in (1, 2)) + sum(field.skip[1, labels[i], labels[3]] for i in range(3)))
+            for i in range(3):
+                total[i, labels[i]] += w
+    assert np.allclose(field.marginals(texts, c), total / total.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def test_counts_of_pii_and_secrets_by_brute_force(spark, texts):
+    """The queries' counts, digests and spans: base ones by brute force, all of them in order, added ones apart from base ones."""
+    for name, module, brute, columns in (("op1_secret_scan", secrets, brute_secrets, ("n_assign", "n_access", "n_hex")), ("op6_pii_scan", pii, brute_pii, ("n_email", "n_ip", "n_card", "n_phone"))):
+        for r in queries.QUERIES[name](spark, SMALL).collect():
+            base = brute(texts[r.doc_id] or "")
+            shown = [f"{module.KINDS[k]}:{a}:{b}" for a, k, b in base]
+            assert [r[c] for c in columns] == [sum(k == i for _, k, _ in base) for i in range(len(columns))]
+            assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest()
+            every = [x for x in r.spans.split(",") if x]
+            assert not collections.Counter(shown) - collections.Counter(every)
+            assert [int(x.split(":")[1]) for x in every] == sorted(int(x.split(":")[1]) for x in every)
 
 
 # 7: html

@@ -130,10 +130,27 @@ def map_texts(df: DataFrame, key: str, text: str, schema: str, rows, types) -> D
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
-def sample_texts(docs: DataFrame, doc_id: str, text: str, most: int) -> list[str]:
-    """At most ``most`` texts, for training: those whose doc_id hashes lowest, so any run takes the same."""
-    ids = docs.select(doc_id).filter(F.col(doc_id).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id).limit(most)
-    return [r[0] for r in docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(ids), doc_id, "left_semi").select(text).limit(2 * most).collect()]
+def sample_texts(docs: DataFrame, doc_id: str, text: str, most: int) -> DataFrame:
+    """(id, text) of at most ``most`` rows, for training: of the ids that hash lowest, so any run takes the same; where
+    rows share an id, their smallest text. Null texts are empty, null ids are left out."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("id is not null")
+    ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(most).distinct()
+    return rows.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def learn(sample: DataFrame, schema: str, tally) -> list[tuple]:
+    """What ``tally(texts)`` counts in each of a few parts of a sample of texts, as tuples by the schema: texts stay on the executors."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(batches):
+        texts = [t for batch in batches for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in tally(texts)], schema=types)
+
+    kinds = {"binary": pa.binary(), "double": pa.float64(), "long": pa.int64(), "string": pa.string()}
+    types = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, schema.split(","), strict=True)])
+    return [tuple(r) for r in sample.select("text").repartition(8).mapInArrow(run, schema).collect()]
 
 
 def span_text(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:

@@ -1,27 +1,33 @@
 """PII: fixed patterns, and a skip-chain conditional random field over the candidates that they leave.
 
 The field's nodes are the text's candidates: pattern matches (whose label is known) and other runs of
-digits or tokens with an @. Neighbours in the text share a chain potential; candidates with the same
-key (the digits alone, or the address in lower case) share a skip potential, however far apart, each
-with the next one of its key. Loopy sum-product makes labels of repeated values agree; a candidate
-that ends up as personal data with high probability adds a span. Weights are trained piecewise on
-the patterns' labels in a bounded sample: a softmax regression for nodes, counts for edges.
-
-Defined results: null text is empty; empty text has no spans; whole texts are searched, of any
-length; repeated rows are searched each; other columns are not looked at.
+digits or tokens with an @. Neighbours in the text share a chain potential. Candidates that repeat each other
+(equal digits, or one address in any case) or are similar (the same last seven digits, the same local part) are tied
+by skip edges, however far apart: each to a node that stands for their common key, so evidence travels two
+edges whatever the number of mentions. Loopy sum-product runs until messages settle; a candidate that ends up as
+personal data with high probability adds a span.
+
+Weights are trained piecewise in a bounded sample, from counts that are summed on the executors: of pattern matches,
+of variants made of them (without + or country code, digits alone, in other case or domain), which carry their label, and of
+the other candidates. Nodes are a weighted softmax regression; a skip potential is how often tied candidates agree.
+
+Defined results: null text is empty; empty text has no spans; an empty table gives an empty result; whole
+texts are searched, of any length; repeated rows are searched each; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_texts, sample_texts, span_text
+from .common import documents, learn, map_texts, sample_texts, span_text
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -34,11 +40,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
-ADDRESS = re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}")
+#: It begins where a run does, so that a long run without @ is looked at once.
+ADDRESS = re.compile(r"(?<![^\s@])[^\s@]+@[^\s@]+")
 SAMPLE_TEXTS = 3000
-ROUNDS, LEAST_PROBABILITY = 10, 0.9
-#: Agreement assumed of repeated candidates before any was counted.
-PRIOR_AGREE, PRIOR_DIFFER = 200.0, 1.0
+#: Messages are settled when none changes by more; rounds grow with the graph.
+TOLERANCE, ROUNDS, LEAST_PROBABILITY = 1e-4, 100, 0.9
+#: What ties candidates: equal digits or addresses, the last digits, the local part.
+TIES = ("same", "digits", "local")
+LAST_DIGITS, LEAST_LOCAL = 7, 4
+#: A variant's shape alone is personal data with this chance, and no more; counts of agreement before any was made.
+VARIANT_WEIGHT, PRIOR = 0.5, 1.0
 
 
 def luhn(digits: str) -> bool:
@@ -82,11 +93,28 @@ class Candidates:
     spans: list[tuple[int, int]]
     labels: list[int]  # of pattern matches; OTHER for the rest
     known: list[bool]
-    keys: list[str]
+    keys: list[list[tuple[int, str]]]  # (number of the tie, key)
 
 
-def key_of(s: str) -> str:
-    return s.lower() if "@" in s else "".join([c for c in s if "0" <= c <= "9"]) + "." * (s.count(".") == 3)
+def keys_of(s: str) -> list[tuple[int, str]]:
+    if "@" in s:
+        local = s.lower().partition("@")[0]
+        return [(0, s.lower())] + [(2, local)] * (len(local) >= LEAST_LOCAL)
+    digits = "".join([c for c in s if "0" <= c <= "9"])
+    if s.count(".") == 3:
+        return [(0, s)]
+    return [(0, digits)] + [(1, digits[-LAST_DIGITS:])] * (len(digits) > LAST_DIGITS)
+
+
+def variants(s: str, label: int) -> list[str]:
+    """Ways to write a match that its pattern does not find; empty for addresses of machines, which have one."""
+    digits = "".join([c for c in s if "0" <= c <= "9"])
+    if label == 0:
+        local, _, domain = s.partition("@")
+        return [f"{local}@{domain.split('.')[0]}", f"{local.upper()}@{domain.split('.')[0]}"]
+    if label == 3:
+        return [digits, digits[-10:], f"{digits[-10:-7]} {digits[-7:-4]} {digits[-4:]}"]
+    return [digits[:-1]] if label == 2 else []
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Candidates:
@@ -103,7 +131,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Candidates:
                 end = m.end()
     found.sort()
     pattern = {(a, b, k) for a, k, b in base}
-    return Candidates([(a, b) for a, b, _ in found], [k for _, _, k in found], [x in pattern for x in found], [key_of(text[a:b]) for a, b, _ in found])
+    return Candidates([(a, b) for a, b, _ in found], [k for _, _, k in found], [x in pattern for x in found], [keys_of(text[a:b]) for a, b, _ in found])
 
 
 def features(s: str) -> list[float]:
@@ -112,44 +140,56 @@ def features(s: str) -> list[float]:
     return [1.0, "@" in s, "@" in s and "." in s.rpartition("@")[2], s.count(".") == 3, s.startswith("+"), "(" in s, " " in s or "-" in s, digits < 10, 10 <= digits <= 12, digits == 13, 14 <= digits <= 15, 16 <= digits <= 19, digits > 19, 14 <= digits <= 19 and luhn(plain)]
 
 
+def ties(keys: list[list[tuple[int, str]]]) -> list[tuple[int, list[int]]]:
+    """(number of the tie, members) of each key that two candidates or more have; none twice with the same members."""
+    by: dict[tuple[int, str], list[int]] = {}
+    for i, own in enumerate(keys):
+        for key in own:
+            by.setdefault(key, []).append(i)
+    out: dict[tuple[int, ...], int] = {}
+    for (kind, _), members in sorted(by.items()):
+        if len(members) > 1:
+            out.setdefault(tuple(members), kind)
+    return [(kind, list(members)) for members, kind in out.items()]
+
+
 @dataclass
 class SkipChain:
-    """Log potentials: nodes by feature and label, chain and skip edges by pairs of labels."""
+    """Log potentials: nodes by feature and label, chain edges by pairs of labels, skip edges by tie and pairs of labels."""
 
     node: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
 
     def marginals(self, texts: list[str], c: Candidates) -> np.ndarray:
-        """Loopy sum-product over all candidates of a text; all messages of a round are sent at once."""
-        n, size = len(texts), OTHER + 1
-        unary = np.array([features(s) for s in texts]) @ self.node
-        known = np.array(c.known)
+        """Loopy sum-product over all candidates of a text and their keys; all messages of a round are sent at once."""
+        n, size, tied = len(texts), OTHER + 1, ties(c.keys)
+        unary = np.zeros((n + len(tied), size))
+        unary[:n] = np.array([features(s) for s in texts]) @ self.node
+        known = np.flatnonzero(c.known)
         unary[known] = -50.0
         unary[known, np.array(c.labels)[known]] = 0.0
-        last: dict[str, int] = {}
-        skips = []
-        for i, k in enumerate(c.keys):
-            if k in last:
-                skips.append((last[k], i))
-            last[k] = i
+        skips = [(i, n + hub) for hub, (_, members) in enumerate(tied) for i in members]
+        kinds = [kind for kind, members in tied for _ in members]
         edges = np.array([(i, i + 1) for i in range(n - 1)] + skips, dtype=int).reshape(-1, 2)
-        potential = np.concatenate([np.broadcast_to(self.chain, (n - 1, size, size)), np.broadcast_to(self.skip, (len(skips), size, size))])
+        potential = np.concatenate([np.broadcast_to(self.chain, (n - 1, size, size)), self.skip[np.array(kinds, dtype=int)]])
         e = len(edges)
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         both = np.concatenate([potential, potential.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
         message = np.zeros((2 * e, size))
         belief = unary
-        for _ in range(ROUNDS if e else 0):
+        for _ in range(ROUNDS + 2 * n if e else 0):
             out = (belief[source] - message[back])[:, :, None] + both
             top = out.max(axis=1, keepdims=True)
             new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
-            new -= new.max(axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
+            new = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            change, message = np.abs(new - message).max(), new
             belief = unary.copy()
             np.add.at(belief, target, message)
-        p = np.exp(belief - belief.max(axis=1, keepdims=True))
+            if change < TOLERANCE:
+                break
+        p = np.exp(belief[:n] - belief[:n].max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -162,41 +202,72 @@ class SkipChain:
         return [(a, int(k), b) for (a, b), known, k, x in zip(c.spans, c.known, best, p, strict=True) if not known and k != OTHER and x[k] >= LEAST_PROBABILITY]
 
 
-def train(texts: list[str], steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> SkipChain:
-    """Piecewise: nodes by softmax regression on the patterns' labels, edges by smoothed counts of label pairs."""
-    size = OTHER + 1
-    x, y = [], []
-    pairs, agree, differ = np.ones((size, size)), PRIOR_AGREE, PRIOR_DIFFER
+def tally(texts: list[str]) -> Counter:
+    """Weighted counts: ("node", features, label), ("chain", label, label), ("tie", number, 1 if the two agree)."""
+    out: Counter = Counter()
     for t in texts:
         c = candidates(t, base_spans(t))
-        x += [features(t[a:b]) for a, b in c.spans]
-        y += c.labels
-        np.add.at(pairs, (c.labels[:-1], c.labels[1:]), 1)
-        last: dict[str, int] = {}
-        for k, label, known in zip(c.keys, c.labels, c.known, strict=True):
-            if known and k in last:
-                agree, differ = agree + (last[k] == label), differ + (last[k] != label)
-            if known:
-                last[k] = label
-    width = len(features("0"))
-    node = np.zeros((width, size))
-    if x:
-        xs, target = np.array(x, dtype=float), np.eye(size)[y]
+        for (a, b), label, known in zip(c.spans, c.labels, c.known, strict=True):
+            s = t[a:b]
+            out["node", tuple(map(float, features(s))), label] += 1
+            for v in variants(s, label) if known else ():
+                out["node", tuple(map(float, features(v))), label] += VARIANT_WEIGHT
+                out["node", tuple(map(float, features(v))), OTHER] += 1 - VARIANT_WEIGHT
+                out.update(("tie", kind, 1) for kind, _ in set(keys_of(s)) & set(keys_of(v)))
+        out.update(("chain", a, b) for a, b in zip(c.labels, c.labels[1:], strict=False))
+        for kind, members in ties(c.keys):
+            for i, j in zip(members, members[1:], strict=False):
+                # a match and a candidate that no pattern finds say nothing of each other: it may be a variant
+                if c.known[i] and c.known[j]:
+                    out["tie", kind, int(c.labels[i] == c.labels[j])] += 1
+    return out
+
+
+def train(texts: list[str]) -> SkipChain:
+    return fit_counts(tally(texts))
+
+
+def fit_counts(found: Counter, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> SkipChain:
+    """Piecewise: nodes by weighted softmax regression, edges by smoothed counts of label pairs."""
+    size = OTHER + 1
+    nodes = sorted((k[1], k[2], n) for k, n in found.items() if k[0] == "node")
+    node = np.zeros((len(features("0")), size))
+    if nodes:
+        xs, target, weight = np.array([x for x, _, _ in nodes]), np.eye(size)[[y for _, y, _ in nodes]], np.array([n for _, _, n in nodes])[:, None]
+        weight = weight / weight.sum()
         for _ in range(steps):
             z = xs @ node
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            node -= rate * (xs.T @ (p - target) / len(xs) + ridge * node)
+            node -= rate * (xs.T @ (weight * (p - target)) + ridge * node)
+    pairs = np.ones((size, size))
+    agree = np.full((len(TIES), 2), PRIOR)
+    for k, n in found.items():
+        if k[0] == "chain":
+            pairs[k[1], k[2]] += n
+        elif k[0] == "tie":
+            agree[k[1], k[2]] += n
     pairs /= pairs.sum()
     chain = np.log(pairs) - np.log(pairs.sum(axis=1))[:, None] - np.log(pairs.sum(axis=0))[None, :]
-    same, other = agree / (agree + differ), differ / (agree + differ) / (size - 1)
-    skip = np.where(np.eye(size, dtype=bool), np.log(same), np.log(other))
+    same = agree[:, 1] / agree.sum(axis=1)
+    skip = np.where(np.eye(size, dtype=bool), np.log(same)[:, None, None], np.log((1 - same) / (size - 1))[:, None, None])
     return SkipChain(node, np.clip(chain, -1, 1), skip)
 
 
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SkipChain:
+    """From a bounded sample of a table: counts alone come to the driver, at most one for each of the features' combinations."""
+    sample = sample_texts(docs, doc_id, text, SAMPLE_TEXTS)
+    rows = learn(sample, "key string, n double", lambda texts: [(json.dumps(k), float(n)) for k, n in tally(texts).items()])
+    found: Counter = Counter()
+    for key, n in rows:
+        kind, a, b = json.loads(key)
+        found[kind, tuple(a) if isinstance(a, list) else a, b] += n
+    return fit_counts(found)
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: SkipChain | None = None) -> DataFrame:
     """One row a document: counts by kind, base_sha256, and spans of all kinds."""
-    field = model or train(sample_texts(docs, doc_id, text, SAMPLE_TEXTS))
+    field = model or fit(docs, doc_id, text)
 
     def rows(texts: list[str]):
         for t in texts:
