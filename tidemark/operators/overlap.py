@@ -22,14 +22,18 @@ def arcs(spread: DataFrame, cases: DataFrame, least: float) -> DataFrame:
     """(src, dst, overlap): segments where the second begins at the activity at which the first ends, whose
     windows of end and start contain each other, and whose cases overlap by ``least``.
 
-    The shared activity is the join's key and containment its filter; case sets come to the pairs last.
+    The shared activity and a window are the join's key: where one range contains another, the first window of the
+    inner one lies in the outer. Case sets come to the pairs last.
     """
     seg = spread.filter("comp_type = 'segment'")
     a = seg.select(F.col("hle_id").alias("src"), F.col("e2").alias("at"), "end_first", "end_last")
     b = seg.select(F.col("hle_id").alias("dst"), F.col("e1").alias("at"), "start_first", "start_last")
     inside = (F.col("end_first") >= F.col("start_first")) & (F.col("end_last") <= F.col("start_last"))
     around = (F.col("start_first") >= F.col("end_first")) & (F.col("start_last") <= F.col("end_last"))
-    near = a.join(b, "at").filter((F.col("src") != F.col("dst")) & (inside | around)).select("src", "dst")
+    each = lambda first, last: F.explode(F.sequence(F.col(first), F.col(last)))
+    within = a.withColumn("w", F.col("end_first")).join(b.withColumn("w", each("start_first", "start_last")), ["at", "w"]).filter(inside)
+    beyond = a.withColumn("w", each("end_first", "end_last")).join(b.withColumn("w", F.col("start_first")), ["at", "w"]).filter(around & ~inside)
+    near = within.select("src", "dst").unionByName(beyond.select("src", "dst")).filter(F.col("src") != F.col("dst"))
     left, right = cases.select(F.col("hle_id").alias("src"), F.col("cases").alias("c1")), cases.select(F.col("hle_id").alias("dst"), F.col("cases").alias("c2"))
     both = near.join(left, "src", "left").join(right, "dst", "left")
     none = F.array().cast(dict(cases.dtypes)["cases"])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.sets import contains_joined, contains_run, is_proper_prefix, jaccard, project
+from tidemark.functions.sets import contains_joined, contains_run, jaccard, project
 from tidemark.storage import Staging
 
 
@@ -66,6 +66,10 @@ def frequent(paths: DataFrame, least: int) -> DataFrame:
     return paths.filter(F.col("frequency") >= least) if least > 0 else paths
 
 
+#: Characters of a joined run by which cases are found.
+_KEY_CHARS = 16
+
+
 def activities(path: Column) -> Column:
     return project(path)
 
@@ -73,16 +77,24 @@ def activities(path: Column) -> Column:
 def case_pool(paths: DataFrame, flows: DataFrame, compat: str = "fixed") -> DataFrame:
     """Cases whose control flow holds the path's activities in a row: (hla_path, relevant).
 
-    Cases and paths meet by the first two activities, so that only cases that can match are compared.
+    Cases and paths meet by the first two activities, so that only cases that can match are compared: a join by equal keys.
     """
-    test = contains_joined if compat == "reference" else contains_run
-    wanted = paths.select("hla_path", activities(F.col("hla_path")).alias("run")).withColumn("first", F.struct(F.get("run", F.lit(0)).alias("a"), F.get("run", F.lit(1)).alias("b")))
+    wanted = paths.select("hla_path", activities(F.col("hla_path")).alias("run"))
     if compat == "reference":
-        # names may match inside of names there, which no key finds: the paths, few beside the cases, go to all of them
-        hits = flows.join(F.broadcast(wanted), test(F.col("flow"), F.col("run")))
+        # names may match inside of names there: cases and paths meet by the first characters of the joined run,
+        # which stand somewhere in the joined flow
+        wanted = wanted.withColumn("text", F.array_join("run", "#"))
+        most = min(_KEY_CHARS, wanted.agg(F.min(F.char_length("text"))).first()[0] or 0)
+        if most == 0:
+            return wanted.select("hla_path", F.array().cast(f"array<{dict(flows.dtypes)['case_id']}>").alias("relevant")).limit(0)
+        joined = flows.withColumn("_text", F.array_join("flow", "#"))
+        places = F.sequence(F.lit(1), F.greatest(F.char_length("_text") - most + 1, F.lit(1)))
+        keys = F.array_distinct(F.transform(places, lambda i: F.substring("_text", i, F.lit(most))))
+        hits = joined.withColumn("first", F.explode(keys)).join(wanted.withColumn("first", F.substring("text", 1, most)), "first").filter(contains_joined(F.col("flow"), F.col("run")))
     else:
+        wanted = wanted.withColumn("first", F.struct(F.get("run", F.lit(0)).alias("a"), F.get("run", F.lit(1)).alias("b")))
         pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("flow") - 2, F.lit(0))), lambda i: F.struct(F.get("flow", i).alias("a"), F.get("flow", i + 1).alias("b"))))
-        hits = flows.withColumn("first", F.explode(pairs)).join(wanted, "first").filter(test(F.col("flow"), F.col("run")))
+        hits = flows.withColumn("first", F.explode(pairs)).join(wanted, "first").filter(contains_run(F.col("flow"), F.col("run")))
     return hits.groupBy("hla_path").agg(F.sort_array(F.collect_set("case_id")).alias("relevant"))
 
 
@@ -106,4 +118,4 @@ def hles_by_case(cases: DataFrame) -> DataFrame:
     return cases.select("hle_id", F.explode("cases").alias("case_id")).groupBy("case_id").agg(F.sort_array(F.collect_set("hle_id")).alias("hles"))
 
 
-__all__ = ["activities", "case_pool", "frequent", "hla_paths", "hle_paths", "hles_by_case", "is_proper_prefix", "maximal", "prune_arcs", "statistics"]
+__all__ = ["activities", "case_pool", "frequent", "hla_paths", "hle_paths", "hles_by_case", "maximal", "prune_arcs", "statistics"]

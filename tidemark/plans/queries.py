@@ -48,6 +48,10 @@ def _day(spark: SparkSession, sf_dir: str) -> Prepared:
 
 def _values(spark: SparkSession, sf_dir: str, chosen: tuple[str, ...]) -> DataFrame:
     p = _day(spark, sf_dir)
+    if len(chosen) > 2:
+        # each feature is a branch of the plan: they share what is written once
+        stage = Staging(spark, "day")
+        p = Prepared(stage.table(p.log, "log"), stage.table(p.steps, "steps"), p.frame)
     return features.values(chosen, p.log, p.steps, p.frame)
 
 
