@@ -627,3 +627,16 @@ def test_pipeline_by_brute_force(spark, texts):
         ids = theirs.encode_ordinary(texts[i])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest()
+
+
+def test_pipeline_takes_edge_cases_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, digest string, n_tokens string"
+    rows = [(i, t, lang, src, "d", None) for i, t, lang, src in EDGE]
+    for name, part in (("edge", rows), ("empty", [])):
+        spark.createDataFrame(part, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/edge").collect()
+    # of those with 50 words or more, 7 and 10 are equal texts and 8 is near them; the budget of nine tenths holds the long one alone
+    assert {r.doc_id for r in got} <= {6, 8, 10} and got
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
