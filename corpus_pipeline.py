@@ -2,6 +2,11 @@
 
 Each stage gets all that its predecessor kept and returns a table; all but the last return the columns of
 documents. SQL cannot express near-dedup, so ORACLE_SQL is None and the pipeline is tested by brute force.
+
+Defined results: null and empty texts break the base rules and go in the first stage; very long texts are kept and read whole;
+of repeated rows and equal texts one stays; of tied ids the row with the largest locator; rows with a null id are judged by
+their text, and kept by near-dedup; null sources and languages are values of their own; an empty table gives an empty result; extra
+columns, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
