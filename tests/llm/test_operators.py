@@ -124,6 +124,30 @@ def test_planted_secrets_are_found_and_ordinary_tokens_left(texts):
     assert sum(len(d.spans(t, secrets.base_spans(t))) for t in clean) <= 2
 
 
+def test_secret_models_count_every_row_of_a_table(spark, texts):
+    """Also rows that share an id or have none, by any partitioning; more rows than any sample of 2,000 has."""
+    rows = [(i % 2700 or None, t) for i, t in enumerate((list(texts.values()) * 15)[:2800])]
+    rows.append((2801, "rare_identifier_x9y8z7_q1w2e3 " * 40 + "secret=Zq8Lw3Rt7Yb2Nc5K"))
+    theirs = secrets.train(secrets.labelled_samples([t or "" for _, t in rows]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7):
+        ours = secrets.fit(df.repartition(parts))
+        assert ours.least == theirs.least
+        assert np.array_equal(ours.random_strings.log, theirs.random_strings.log) and np.array_equal(ours.identifiers.log, theirs.identifiers.log)
+    assert not np.array_equal(theirs.identifiers.log, secrets.train(secrets.labelled_samples([t or "" for _, t in rows[:-1]])).identifiers.log)
+
+
+def test_secrets_without_a_pattern_do_not_hide_others_and_size_does_not_either(texts):
+    samples = secrets.labelled_samples([t or "" for t in texts.values()])
+    rng = random.Random(4)
+    made = ["".join(rng.choices(string.ascii_letters + string.digits, k=24)) for _ in range(40)]
+    large = samples * (400_000 // len(samples) + 1)
+    d = secrets.train([*large, *((s, 0) for s in made)])
+    assert sum(map(d.is_random, made)) >= 36
+    once, twice = secrets.train(samples * 15), secrets.train(samples * 60)
+    assert once.least == twice.least and abs(once.identifiers.log - twice.identifiers.log).max() < 1e-6
+
+
 # 2, 3, 4, 10: SQL
 
 
