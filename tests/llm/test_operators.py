@@ -630,6 +630,48 @@ def test_ranking_orders_pairs_and_is_flat_without_labels():
     assert math.isfinite(float(m.score(np.full((1, 3), 1e9))[0]))
 
 
+def test_quality_model_learns_from_every_labelled_row(spark, tmp_path):
+    """More rows of a label than any sample of 3,000 has; rows that share an id, labels twice, of both kinds, unknown, without a document."""
+    rng = random.Random(6)
+    junk = ["buy now | click $$$ here", "####### %%% 1234 &&& 99", "free free free free free"]
+    rows = [(i, " ".join(rng.choices(PROSE.split(), k=rng.randint(5, 40))) if i % 11 else rng.choice(junk) + " " * (i % 3) + "x" * rng.randint(0, 9)) for i in range(5000)]
+    rows += [(1, "another text of the same id, a longer one"), (None, "no id"), (6000, None), (6001, "not labelled")]
+    labels = [(i, int(i % 11 > 0)) for i in range(5000)] + [(6000, 0), (3, 1), (4, 0), (6001, None), (7000, 1), (None, 1), (5, 2)]
+    known = collections.defaultdict(set)
+    for i, y in labels:
+        if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2:
+            known[i].add(y)
+    kept = [(y, quality_classifier.features(t or "")) for i, t in rows for y in known.get(i, ())]
+    good, bad = (np.array([x for y, x in kept if y == k]) for k in (1, 0))
+    assert len(good) > 3000
+    theirs = quality_classifier.fit(good, bad)
+    df, labelled = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id int, quality int")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    labelled.write.parquet(f"{tmp_path}/labels.parquet")
+    found = queries.QUERIES["op9_quality_classifier"](spark, str(tmp_path)).collect()
+    scores = theirs.score(np.array([quality_classifier.features(t or "") for _, t in rows]))
+    assert sorted((str(r.doc_id), r.score) for r in found) == sorted((str(i), x) for (i, _), x in zip(rows, scores.tolist(), strict=True))
+    table = quality_classifier.training_features(df, labelled).localCheckpoint()
+    assert sorted((r[0], tuple(r[1])) for r in table.collect()) == sorted((y, tuple(x)) for y, x in kept)
+    for parts in (1, 5):
+        ours = quality_classifier.fit_table(table.repartition(parts))
+        assert np.array_equal(ours.weights, theirs.weights) and (ours.at, ours.width) == (theirs.at, theirs.width)
+
+
+def test_ranking_weighs_all_pairs():
+    """The gradient over every pair vanishes, and the threshold has the bad documents' share below it."""
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(0.7, 1, (900, 3)), rng.normal(-0.7, 1.5, (150, 3))
+    m = quality_classifier.fit(good, bad)
+    z_good, z_bad = m.standard(good), m.standard(bad)
+    wrong = 1 / (1 + np.exp(np.subtract.outer(z_good @ m.weights, z_bad @ m.weights)))
+    gradient = 1e-3 * m.weights - (wrong.sum(axis=1) @ z_good - wrong.sum(axis=0) @ z_bad) / wrong.size
+    assert abs(gradient).max() < 1e-4
+    below = (m.score(np.concatenate([good, bad])) < quality_classifier.THRESHOLD).sum()
+    assert abs(below - 150) <= 1
+    assert np.array_equal(m.score(good[:1]), m.score(good)[:1])
+
+
 # the pipeline
 
 
