@@ -148,7 +148,7 @@ def phrase_counts(texts: DataFrame, n: int, seed: int, maps: list[np.ndarray], p
             order = np.lexsort((*found.T[::-1], part))
             part, keys, times = part[order], found[order].astype(">u8"), times[order].astype("<u4")
             cuts = starts_of_runs(part[1:] == part[:-1], len(part))
-            spans = list(zip(cuts, [*cuts[1:], len(part)], strict=True))
+            spans = list(zip(cuts, [*cuts, len(part)][1:], strict=True))
             rows = [pa.array(part[cuts], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([times[a:b].tobytes() for a, b in spans], pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, ["part", "keys", "times"])
 

@@ -94,7 +94,7 @@ class Codes:
         """Log-odds of each bit for texts with letters, over the root of the text's trigrams, as these depend on
         each other; sums of whole numbers, the same in any batch."""
         h, starts = trigrams(texts, self.weights.shape[1] - 1)
-        size = np.diff([*starts, len(h)])
+        size = np.diff([*starts, len(h) + 2]) - 2
         out = [np.add.reduceat(w[h], starts) for w in self.weights]
         return np.stack(out, axis=1) / ONE / np.sqrt(size)[:, None] if out else np.zeros((len(texts), 0))
 
