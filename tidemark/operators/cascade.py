@@ -19,8 +19,11 @@ def edges(hles: DataFrame, link: DataFrame, least: float) -> DataFrame:
 
     Events of window pairs take no part. ``link`` holds each kind once, in the order a, r, s of its sides;
     windows' events are paired by an equal number, and only pairs with a link of at least ``least`` or one
-    entity are formed: the links are joined by entity before the second window.
+    entity are formed: the links are joined by entity before the second window. ``least`` is above 0: with 0, all
+    events of neighbouring windows are linked, which window_edges() says with fewer edges.
     """
+    if least <= 0:
+        raise ValueError("least is above 0; window_edges() links all events of neighbouring windows")
     single = hles.filter("w1 = w2").select("hle_id", F.col("w1").alias("w"), "comp_type", "e1", F.coalesce("e2", F.lit("")).alias("e2"))
     null_safe = link.filter(F.col("weight") >= least).select("kind", "x1", F.coalesce("x2", F.lit("")).alias("x2"), "y1", F.coalesce("y2", F.lit("")).alias("y2"), "weight")
     turned = null_safe.filter("substring(kind, 1, 1) <> substring(kind, 2, 1)").select(F.reverse("kind").alias("kind"), F.col("y1").alias("x1"), F.col("y2").alias("x2"), F.col("x1").alias("y1"), F.col("x2").alias("y2"), "weight")
@@ -34,10 +37,20 @@ def edges(hles: DataFrame, link: DataFrame, least: float) -> DataFrame:
     return half.join(v, ["w", "t2", "y1", "y2"]).filter(F.col("weight") >= least).select("u", "v", "weight")
 
 
+def window_edges(hles: DataFrame) -> DataFrame:
+    """(u, v) whose components are those of all pairs of events of neighbouring windows, linked or not (a least link of 0): a star
+    around the first event of a window for the windows beside it. One edge an event and neighbour instead of all pairs."""
+    single = hles.filter("w1 = w2").select("hle_id", F.col("w1").alias("w"))
+    first = single.groupBy("w").agg(F.min("hle_id").alias("v"))
+    beside = [first.select((F.col("w") + d).alias("w"), "v") for d in (-1, 1)]
+    return single.join(beside[0].unionByName(beside[1]), "w").select(F.col("hle_id").alias("u"), "v")
+
+
 def cascades(hles: DataFrame, link: DataFrame, least: float) -> DataFrame:
     """hle_id and its cascade, named by the cascade's first event; events without an edge are cascades of their own."""
     stage = Staging(hles.sparkSession, "cascade")
-    found = connected(stage, edges(hles, link, least).select("u", "v"), "cascades")
+    linked = edges(hles, link, least).select("u", "v") if least > 0 else window_edges(hles)
+    found = connected(stage, linked, "cascades")
     single = hles.filter("w1 = w2").select("hle_id")
     return single.join(found.withColumnRenamed("node", "hle_id"), "hle_id", "left").select("hle_id", F.coalesce("component", "hle_id").alias("cascade"))
 

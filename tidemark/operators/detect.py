@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.storage import Staging
+
 from .features import ENTITY, KEYS
+from .ranks import percentiles
 
 DELAY_SHARE, DELAY_LEAST = 0.7, 10
 #: Thresholds where there are no values but zeros: nothing is above, nothing is below.
@@ -25,26 +28,36 @@ def group_of(by: str) -> list[str]:
 
 
 # Values have 6 places and percentiles lie between two of them at a short fraction: at 9 places no engine rounds another way.
-def _percentile(c: str, p: float, where: str) -> Column:
-    return F.round(F.expr(f"percentile({c}, {p!r}) filter (where {where})"), 9)
+def _edges(values: DataFrame, keys: list[str], p: float, stage: Staging) -> DataFrame:
+    """low and high by key: percentiles of the values but zeros, or what nothing is below or above."""
+    found = percentiles(values.withColumn("value", F.nullif("value", F.lit(0.0))), keys, "value", {"low": round((100 - p * 100) / 100, 9), "high": p}, stage)
+    return _with(values.select(*keys).distinct(), found, keys).select(*keys, F.coalesce(F.round("low", 9), F.lit(NO_LOW)).alias("low"), F.coalesce(F.round("high", 9), F.lit(NO_HIGH)).alias("high"))
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join by null-safe keys, as only segments have e2."""
+    named = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(named, on, "left").drop(*[f"_{k}" for k in keys])
 
 
 def thresholds(values: DataFrame, p: float, by: str = "type") -> DataFrame:
     """low, high and, of delays, the least bundle above which one counts; by feature and type, or by entity.
 
     Zeros are left out. Delays always use the share 0.7; their bundle threshold is the share ``p`` of the
-    sizes of bundles beyond it.
+    sizes of bundles beyond it. Percentiles are exact and found by ranks, so a type may have any number of values.
     """
     share(p)
     keys = group_of(by)
-    low = lambda q: round((100 - q * 100) / 100, 9)
-    plain = values.filter("f_type <> 'delay'").groupBy(*keys).agg(F.coalesce(_percentile("value", low(p), "value <> 0"), F.lit(NO_LOW)).alias("low"), F.coalesce(_percentile("value", p, "value <> 0"), F.lit(NO_HIGH)).alias("high"), F.lit(None).cast("double").alias("bundle"))
+    stage = lambda n: Staging(values.sparkSession, f"thresholds-{n}")
+    plain = _edges(values.filter("f_type <> 'delay'"), keys, p, stage("plain")).withColumn("bundle", F.lit(None).cast("double"))
     delays = values.filter("f_type = 'delay' and n > 0")
-    edges = delays.groupBy(*keys).agg(F.coalesce(_percentile("value", low(DELAY_SHARE), "value <> 0"), F.lit(NO_LOW)).alias("low"), F.coalesce(_percentile("value", DELAY_SHARE, "value <> 0"), F.lit(NO_HIGH)).alias("high"))
-    # a table of thresholds has a row for each feature or entity: joins by null-safe keys, as only segments have e2
-    sizes = delays.alias("d").join(edges.alias("t"), [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]).filter("d.value > t.high").groupBy(*[F.col(f"d.{k}").alias(k) for k in keys]).agg(_percentile("n", p, "n <> 0").alias("bundle"))
-    both = edges.alias("t").join(sizes.alias("s"), [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "left")
-    return plain.unionByName(both.select(*[f"t.{k}" for k in keys], "low", "high", F.coalesce("bundle", F.lit(NO_HIGH)).alias("bundle")))
+    edges = stage("delays").table(_edges(delays, keys, DELAY_SHARE, stage("edges")), "edges")
+    sizes = _with(delays.select(*keys, "value", "n"), edges.select(*keys, "high"), keys).filter("value > high and n <> 0")
+    bundles = percentiles(sizes, keys, "n", {"bundle": p}, stage("bundles")).withColumn("bundle", F.round("bundle", 9))
+    return plain.unionByName(_with(edges, bundles, keys).select(*keys, "low", "high", F.coalesce("bundle", F.lit(NO_HIGH)).alias("bundle")))
 
 
 def class_of(value: Column, low: Column, high: Column) -> Column:
@@ -52,9 +65,11 @@ def class_of(value: Column, low: Column, high: Column) -> Column:
 
 
 def hle_id() -> Column:
-    """An id that its content gives: equal in every run, and ordered by window."""
+    """An id that its content gives: equal in every run, ordered by window, and another one for other names, whatever
+    marks these hold: backslashes and bars in them get a backslash."""
     pad = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
-    return F.concat_ws("|", pad("w1"), pad("w2"), "f_type", "comp_type", "e1", F.coalesce("e2", F.lit("")), "class")
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws("|", pad("w1"), pad("w2"), "f_type", "comp_type", safe("e1"), safe("e2"), "class")
 
 
 def detect(values: DataFrame, limits: DataFrame, traffic: tuple[str, ...] = ("High",), by: str = "type", delay_least: int = DELAY_LEAST) -> DataFrame:
@@ -83,11 +98,18 @@ def low_zeros(values: DataFrame, limits: DataFrame, windows: DataFrame) -> DataF
     return none.select(*ENTITY, F.col("w1").cast("long").alias("w1"), F.col("w1").cast("long").alias("w2"), F.lit(0.0).alias("value"), F.lit("Low").alias("class")).withColumn("hle_id", hle_id())
 
 
+def case_rows(hles: DataFrame, rows: DataFrame) -> DataFrame:
+    """(hle_id, case_id) of the cases of each event, once each; only instances of high-level events are looked at."""
+    named = hles.select("hle_id", *[F.col(k).alias(f"_{k}") for k in KEYS])
+    on = F.lit(True)
+    for k in KEYS:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.select(*KEYS, "case_id").join(named, on).select("hle_id", "case_id").distinct()
+
+
 def case_sets(hles: DataFrame, rows: DataFrame) -> DataFrame:
-    """hle_id and its distinct cases, sorted; only instances of high-level events are gathered."""
-    on = [F.col(f"h.{k}").eqNullSafe(F.col(f"i.{k}")) for k in KEYS]
-    hits = rows.alias("i").join(hles.select("hle_id", *KEYS).alias("h"), on)
-    return hits.groupBy("hle_id").agg(F.sort_array(F.collect_set("case_id")).alias("cases"))
+    """hle_id and its distinct cases, sorted: a listing. Operators take the rows of case_rows()."""
+    return case_rows(hles, rows).groupBy("hle_id").agg(F.sort_array(F.collect_list("case_id")).alias("cases"))
 
 
 def hla_counts(hles: DataFrame) -> DataFrame:
@@ -100,8 +122,8 @@ def filter_hla(hles: DataFrame, frequency: float, compat: str = "fixed") -> Data
     frequent (f of 1 or more; the reference takes the least frequent, and 1 as no filter); else all."""
     counts = hla_counts(hles)
     if 0 < frequency < 1:
-        least = counts.agg(F.expr(f"percentile(frequency, {float(frequency)!r})")).first()[0]
-        return counts.filter(F.col("frequency") >= F.lit(least or 0.0))
+        least = percentiles(counts, [], "frequency", {"least": frequency}).first()
+        return counts.filter(F.col("frequency") >= F.lit(least[0] if least and least[0] is not None else 0.0))
     if frequency > 1 or frequency == 1 and compat == "fixed":
         order = F.col("frequency") if compat == "reference" else F.col("frequency").desc()
         return counts.orderBy(order, *ENTITY, "class").limit(int(frequency))

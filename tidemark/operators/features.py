@@ -2,6 +2,11 @@
 
 An instance row says which case counts for which feature, entity and window (or pair of windows). Only
 windows that occur are produced; a missing row stands for the value 0.
+
+Features of spans (SPANS) count what is open from a step's window up to its next one's. Their values come from changes: a
+row where a span begins and one where it ends, summed by entity and window; running sums, made within blocks of
+windows and carried from block to block, give what is open in each. So a span costs two rows however many windows it
+covers, and an entity's windows are many tasks' work.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .steps import finals
@@ -19,7 +24,12 @@ from .windows import Frame
 FEATURES = ("exec", "to-exec", "do", "todo", "busy", "enter", "exit", "cross", "wt", "handover", "workload", "batch", "delay")
 LOG_FEATURES = FEATURES[:11]
 PATH_FEATURES = ("exit", "enter", "handover", "workload", "batch", "delay")
+SPANS = ("to-exec", "todo", "busy", "cross", "wt")
 ENTITY = ["f_type", "comp_type", "e1", "e2"]
+#: Windows of a block of running sums.
+BLOCK = 1024
+#: Of a second. Times in seconds, as doubles, are whole numbers of these from 1972 on: sums are exact, and equal those of doubles.
+TICKS = float(1 << 26)
 KEYS = [*ENTITY, "w1", "w2"]
 
 
@@ -81,9 +91,10 @@ def instances(f_type: str, log: DataFrame, steps: DataFrame, f: Frame, compat: s
     if f_type == "to-exec":
         out = done("activity", "act", "a_i").unionByName(waiting("activity", "a_j"))
         if compat == "reference":
-            first = log.orderBy("case_id", "pos").limit(1).select("case_id")
-            spans = log.select("act").distinct().withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(f.last - f.first if isinstance(f.width, str) else f.last)))).withColumn("case_id", F.lit(first.first()[0]))
-            out = out.unionByName(rows(spans, "activity", F.col("act"), null, w))
+            first = log.orderBy("case_id", "pos").select("case_id").first()
+            if first is not None:
+                spans = log.select("act").distinct().withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(f.most())))).withColumn("case_id", F.lit(first[0]))
+                out = out.unionByName(rows(spans, "activity", F.col("act"), null, w))
         return out
     if f_type == "do":
         return done("resource", "res", "r_i").filter("e1 is not null")
@@ -129,9 +140,92 @@ def evaluate(rows: DataFrame, f_type: str) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.round(_value(f_type).cast("double"), 6).alias("value"), F.count("*").alias("n"), F.min("w_i").alias("w_i_min"), F.max("w_i").alias("w_i_max"), F.min("w_j").alias("w_j_min"), F.max("w_j").alias("w_j_max"))
 
 
+def changes(f_type: str, log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed") -> DataFrame:
+    """Of a feature of spans: rows (entity, w, opened, since, hits, waited): how many spans open at w less those that close,
+    the sum of their starting times likewise, events that count at w alone, and how long these have waited, in ticks."""
+    null, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+
+    def change(w: Column, opened: int, since: Column = zero, hits: int = 0, waited: Column = zero) -> Column:
+        return F.struct(w.cast("long").alias("w"), F.lit(opened).cast("long").alias("opened"), since.alias("since"), F.lit(hits).cast("long").alias("hits"), waited.alias("waited"))
+
+    def rows(df: DataFrame, comp: str, e1: Column, e2: Column, found: Column) -> DataFrame:
+        return df.select(F.lit(f_type).alias("f_type"), F.lit(comp).alias("comp_type"), e1.alias("e1"), e2.alias("e2"), F.explode(found).alias("c")).select(*ENTITY, "c.*")
+
+    w_i, w_j = F.col("w_i"), F.col("w_j")
+    if f_type in ("cross", "wt"):
+        began, ended = F.col("us_i") / 1e6, F.col("us_j") / 1e6
+        since, waited = (began * TICKS).cast("long"), ((ended - began) * TICKS).cast("long")
+        end = change(w_j, 0, hits=1, waited=waited)
+        both = F.array(change(w_i, 1, since), change(w_j, -1, -since, 1, waited))
+        return rows(steps, "segment", F.col("a_i"), F.col("a_j"), F.when(w_i < w_j, both).otherwise(F.array(end)))
+    comp, event, first, later = ("activity", "act", "a_i", "a_j") if f_type == "to-exec" else ("resource", "res", "r_i", "r_j")
+    open_ = steps.filter("w_i < w_j")
+    if compat == "fixed":
+        open_ = open_.groupBy("case_id", "pos_j", later, "w_j").agg(F.min("w_i").alias("w_i"))
+    out = rows(open_, comp, F.col(later), null, F.array(change(w_i, 1), change(w_j, -1)))
+    if f_type != "todo":
+        if compat == "fixed":
+            out = out.unionByName(rows(log, comp, F.col(event), null, F.array(change(F.col("w"), 0, hits=1))))
+        else:
+            out = out.unionByName(rows(steps, comp, F.col(first), null, F.array(change(w_i, 0, hits=1))))
+            out = out.unionByName(rows(finals(log, steps), comp, F.col(event), null, F.array(change(F.col("w"), 0, hits=1))))
+    if f_type == "to-exec" and compat == "reference":
+        whole = F.array(change(F.lit(0), 1), change(F.lit(f.most() + 1), -1))
+        out = out.unionByName(rows(log.select("act").distinct(), comp, F.col("act"), null, whole))
+    return out.filter("e1 is not null")
+
+
+def open_runs(changed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Runs of windows (entity, first, last, open, since) in which nothing changes, with hits and waited of the first one.
+
+    Running sums stay within a block of windows of an entity. What earlier blocks leave open is carried in; runs are
+    cut at borders of blocks, and what is open over blocks without changes is one run.
+    """
+    whole = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  sums of times pass 64 bits
+    at = changed.withColumn("since", whole("since")).groupBy(*ENTITY, "w").agg(*[F.sum(c).alias(c) for c in ("opened", "since", "hits", "waited")])
+    at = at.withColumn("block", F.floor(F.col("w") / block))
+    inside = Window.partitionBy(*ENTITY, "block").orderBy("w")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = at.select(*ENTITY, "block", F.col("w").alias("first"), (F.lead("w").over(inside) - 1).alias("last"), F.sum("opened").over(upto).alias("open"), F.sum("since").over(upto).alias("since"), "hits", "waited")
+    # one row a block and entity: what it opens in all, and what those before it left open
+    blocks = at.groupBy(*ENTITY, "block").agg(F.min("first").alias("start"), F.max_by("open", "first").alias("open"), F.max_by("since", "first").alias("since"))
+    order = Window.partitionBy(*ENTITY).orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_in") for c in ("open", "since")]
+    blocks = blocks.select(*ENTITY, "block", "start", "open", "since", *sums, F.lead("block").over(order).alias("next"))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*ENTITY, "block"]]
+    ended = F.coalesce("a.last", (F.col("a.block") + 1) * block - 1)
+    runs = at.alias("a").join(blocks.alias("b"), on).select(*[f"a.{k}" for k in ENTITY], "a.first", ended.alias("last"), (F.col("a.open") + F.col("open_in")).alias("open"), (F.col("a.since") + F.col("since_in")).cast("decimal(38,0)").alias("since"), "hits", "waited")
+    quiet = lambda df, first, last, open_, since: df.select(*ENTITY, first.alias("first"), last.alias("last"), open_.alias("open"), since.cast("decimal(38,0)").alias("since"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("waited")).filter("open > 0 and first <= last")
+    begin, end = F.col("block") * block, (F.col("block") + 1) * block
+    head = quiet(blocks, begin, F.col("start") - 1, F.col("open_in"), F.col("since_in"))
+    gap = quiet(blocks, end, F.col("next") * block - 1, F.col("open_in") + F.col("open"), F.col("since_in") + F.col("since"))
+    return runs.filter("open > 0 or hits > 0").unionByName(head).unionByName(gap)
+
+
+def span_values(changed: DataFrame, f_type: str, f: Frame) -> DataFrame:
+    """What evaluate() gives of a feature of spans, window by window; spans' own windows are not kept."""
+    runs = open_runs(changed)
+    each = runs.withColumn("w", F.explode(F.when(F.col("open") > 0, F.sequence("first", "last")).otherwise(F.array("first"))))
+    here = F.col("w") == F.col("first")
+    n = F.col("open") + F.when(here, F.col("hits")).otherwise(0)
+    value = n.cast("double")
+    if f_type == "wt":
+        total = (f.right(F.col("w")) * TICKS).cast("decimal(19,0)") * F.col("open") - F.col("since") + F.when(here, F.col("waited")).otherwise(0)
+        value = total.cast("double") / F.lit(TICKS) / n
+    none = [F.lit(None).cast("long").alias(c) for c in ("w_i_min", "w_i_max", "w_j_min", "w_j_max")]
+    return each.filter(n > 0).select(*ENTITY, F.col("w").alias("w1"), F.col("w").alias("w2"), F.round(value, 6).alias("value"), n.alias("n"), *none)
+
+
 def values(features: tuple[str, ...], log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed", scope: Scope = ALL) -> DataFrame:
     """Values of the chosen features alone: others' branches are not in the plan."""
-    return reduce(DataFrame.unionByName, [evaluate(scope.of(instances(x, log, steps, f, compat), x), x) for x in features])
+
+    def one(x: str) -> DataFrame:
+        if x in SPANS:
+            return span_values(scope.of(changes(x, log, steps, f, compat), x), x, f)
+        return evaluate(scope.of(instances(x, log, steps, f, compat), x), x)
+
+    return reduce(DataFrame.unionByName, [one(x) for x in features])
 
 
 def all_instances(features: tuple[str, ...], log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed", scope: Scope = ALL) -> DataFrame:

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.storage import Staging
 
+from .ranks import ranked
+
 KINDS = ("aa", "ss", "as", "rr", "ar", "rs")
 PAIR = ["x1", "x2", "y1", "y2"]
 
@@ -83,10 +85,10 @@ def symmetric(link: DataFrame) -> DataFrame:
 def spread(link: DataFrame) -> DataFrame:
     """Positive weights of a kind become evenly spaced: the i-th smallest of n distinct ones is i / n.
 
-    Ranks are made over distinct weights, one row each, not over all pairs.
+    Ranks are made over distinct weights, one row each, not over all pairs, and in ranges of them.
     """
     distinct = link.filter("weight > 0").select("kind", "weight").distinct()
-    ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("weight")))
-    counts = distinct.groupBy("kind").agg(F.count("*").alias("n"))
-    even = ranked.join(counts, "kind").select("kind", "weight", F.round(F.col("rank") / F.col("n"), 9).alias("even"))
+    places = ranked(distinct, ["kind"], ["weight"])
+    counts = places.groupBy("kind").agg(F.count("*").alias("n"))
+    even = places.join(counts, "kind").select("kind", "weight", F.round((F.col("before") + 1) / F.col("n"), 9).alias("even"))
     return link.join(even, ["kind", "weight"], "left").select("kind", *PAIR, F.coalesce("even", F.lit(0.0)).alias("weight"))

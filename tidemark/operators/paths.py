@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.sets import contains_joined, contains_run, jaccard, project
-from tidemark.storage import Staging
+from tidemark.functions.sets import contains_joined, contains_run, project
 
+from .forest import grow
+from .overlap import as_rows
 
-def hle_paths(nodes: DataFrame, arcs: DataFrame, cases: DataFrame, least: float, only_maximal: bool = True, longest: int | None = None) -> DataFrame:
-    """(path, cases): from every node, each path that no neighbour extends. A neighbour extends a path if it is
-    not on it and the path's common cases overlap with its own by ``least``.
 
-    Paths grow by one node a round, all at once; each round is written to the shared folder. The number of
-    simple paths can grow exponentially: ``longest`` raises an error if some path would get longer.
-    ``only_maximal=False`` adds each extending arc as a path of two, as often as paths take it.
-    """
-    stage = Staging(nodes.sparkSession, "paths")
-    none = F.array().cast(dict(cases.dtypes)["cases"])
-    known = stage.table(nodes.select("hle_id").join(cases, "hle_id", "left").select("hle_id", F.coalesce("cases", none).alias("cases")), "cases")
-    arc = stage.table(arcs.select("src", "dst").join(known.select(F.col("hle_id").alias("dst"), F.col("cases").alias("next")), "dst"), "arcs")
-    front = known.select(F.array("hle_id").alias("path"), F.col("hle_id").alias("src"), "cases")
-    done, turn = [], 0
-    while True:
-        turn += 1
-        grown = front.join(arc, "src").filter(~F.array_contains("path", F.col("dst")) & (jaccard(F.col("cases"), F.col("next")) >= least))
-        grown = stage.table(grown.select("path", "src", "dst", F.array_intersect("cases", "next").alias("cases")), f"grown-{turn}")
-        done.append(front.join(grown.select("path"), "path", "left_anti").select("path", "cases"))
-        if not only_maximal:
-            done.append(grown.join(known.select(F.col("hle_id").alias("src"), F.col("cases").alias("a")), "src").join(known.select(F.col("hle_id").alias("dst"), F.col("cases").alias("b")), "dst").select(F.array("src", "dst").alias("path"), F.array_intersect("a", "b").alias("cases")))
-        if grown.isEmpty():
-            break
-        if longest is not None and turn >= longest:
-            raise ValueError(f"paths of more than {longest} events; raise `longest` or the overlaps asked for")
-        front = grown.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"), F.sort_array("cases").alias("cases"))
-    return reduce(DataFrame.unionByName, done)
+def hle_paths(nodes: DataFrame, arcs: DataFrame, cases: DataFrame, least: float, only_maximal: bool = True, longest: int | None = None) -> DataFrame:
+    """(path, cases), a listing of what forest.grow() finds: from every node, each path that no neighbour extends."""
+    return grow(nodes, arcs, cases, least, only_maximal, longest).listing()
 
 
 def prune_arcs(arcs: DataFrame, least: float) -> DataFrame:
@@ -45,27 +21,6 @@ def prune_arcs(arcs: DataFrame, least: float) -> DataFrame:
     return arcs.filter(F.col("overlap") >= least)
 
 
-def hla_paths(paths: DataFrame, hles: DataFrame) -> DataFrame:
-    """Paths of high-level activities (feature and entity): frequency, and the union of their paths' cases.
-
-    Activities join the paths' positions, and come together again by the path; partial aggregation merges counts.
-    """
-    hla = hles.select("hle_id", F.struct("f_type", "e1", "e2").alias("hla"))
-    named = paths.withColumn("number", F.monotonically_increasing_id())
-    named = Staging(paths.sparkSession, "hla").table(named, "paths")
-    at = named.select("number", F.posexplode("path").alias("i", "hle_id")).join(hla, "hle_id")
-    names = at.groupBy("number").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "hla"))), lambda x: x["hla"]).alias("hla_path"))
-    both = names.join(named.select("number", "cases"), "number")
-    count = both.groupBy("hla_path").agg(F.count("*").alias("frequency"))
-    members = both.select("hla_path", F.explode("cases").alias("c")).groupBy("hla_path").agg(F.sort_array(F.collect_set("c")).alias("cases"))
-    none = F.array().cast(dict(paths.dtypes)["cases"])
-    return count.join(members, "hla_path", "left").withColumn("cases", F.coalesce("cases", none))
-
-
-def frequent(paths: DataFrame, least: int) -> DataFrame:
-    return paths.filter(F.col("frequency") >= least) if least > 0 else paths
-
-
 #: Characters of a joined run by which cases are found.
 _KEY_CHARS = 16
 
@@ -98,15 +53,6 @@ def case_pool(paths: DataFrame, flows: DataFrame, compat: str = "fixed") -> Data
     return hits.groupBy("hla_path").agg(F.sort_array(F.collect_set("case_id")).alias("relevant"))
 
 
-def statistics(paths: DataFrame, flows: DataFrame, compat: str = "fixed") -> DataFrame:
-    """For each path: length, frequency, and its relevant, participating and other relevant cases with their numbers."""
-    pool = case_pool(paths, flows, compat)
-    none = F.array().cast(dict(paths.dtypes)["cases"])
-    out = paths.join(pool, "hla_path", "left").withColumn("relevant", F.coalesce("relevant", none))
-    rest = F.array_except("relevant", "cases")
-    return out.select(F.col("hla_path").alias("path"), F.size("hla_path").alias("length"), "frequency", "relevant", F.size("relevant").alias("n_relevant"), F.col("cases").alias("participating"), F.size("cases").alias("n_participating"), rest.alias("non_participating"), F.size(rest).alias("n_non_participating"))
-
-
 def maximal(paths: DataFrame) -> DataFrame:
     """Paths that are no proper prefix of another one: each path's prefixes are taken out by an anti-join."""
     prefixes = paths.filter("size(path) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("path")).distinct()
@@ -114,8 +60,8 @@ def maximal(paths: DataFrame) -> DataFrame:
 
 
 def hles_by_case(cases: DataFrame) -> DataFrame:
-    """The inverse of case sets: each case's high-level events."""
-    return cases.select("hle_id", F.explode("cases").alias("case_id")).groupBy("case_id").agg(F.sort_array(F.collect_set("hle_id")).alias("hles"))
+    """The inverse of case sets or rows: each case's high-level events."""
+    return as_rows(cases).groupBy("case_id").agg(F.sort_array(F.collect_set("hle_id")).alias("hles"))
 
 
-__all__ = ["activities", "case_pool", "frequent", "hla_paths", "hle_paths", "hles_by_case", "maximal", "prune_arcs", "statistics"]
+__all__ = ["activities", "case_pool", "hle_paths", "hles_by_case", "maximal", "prune_arcs"]

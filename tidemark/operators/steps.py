@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
+
 def _case():
     return Window.partitionBy("case_id").orderBy("pos")
 
 
-
 def total_order(log: DataFrame) -> DataFrame:
     """Steps between consecutive positions of a case."""
     after = F.lead(F.struct("pos", "act", "res", "us")).over(_case())
@@ -76,8 +78,8 @@ def frequent_segments(log: DataFrame, share: float, compat: str = "fixed") -> Da
     """Segments whose count reaches the percentile ``share`` of all counts. The reference's way counts plain
     consecutive pairs even where times tie. The percentile is one number, read on the driver."""
     counts = segment_counts(total_order(log) if compat == "reference" else partial_order(log))
-    least = counts.agg(F.expr(f"percentile(n, {float(share)})")).first()[0]
-    return counts.filter(F.col("n") >= F.lit(least if least is not None else 0.0))
+    least = percentiles(counts, [], "n", {"least": share}).first()
+    return counts.filter(F.col("n") >= F.lit(least[0] if least and least[0] is not None else 0.0))
 
 
 def surviving_steps(steps: DataFrame, segments: DataFrame) -> DataFrame:

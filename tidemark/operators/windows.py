@@ -33,6 +33,10 @@ class Frame:
     def left(self, w: Column) -> Column:
         return F.lit(self.start) + w * F.lit(self.size)
 
+    def most(self) -> int:
+        """The last window's number."""
+        return self.last - self.first if isinstance(self.width, str) else self.last
+
     def borders(self, spark: SparkSession) -> DataFrame:
         count = self.last + 1 if not isinstance(self.width, str) else self.last - self.first + 1
         w = spark.range(count).select(F.col("id").alias("w"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import cascade, detect, features, hl_log, link, overlap, paths, stats, steps, windows
+from tidemark.operators import casebits, cascade, detect, features, forest, hl_log, link, overlap, participation, paths, stats, steps, windows
 from tidemark.storage import Staging
 
 
@@ -55,11 +55,25 @@ def cascade_log(log: DataFrame, width: str | int = "days", chosen: tuple[str, ..
 
 @dataclass(frozen=True)
 class Paths:
+    """High-level events, their cases as rows, arcs, paths of events and of activities; cases and paths as listings too."""
+
     hles: DataFrame
-    cases: DataFrame
+    rows: DataFrame
     arcs: DataFrame
-    paths: DataFrame
-    hla: DataFrame
+    found: forest.Found
+    activities: participation.Activities
+
+    @property
+    def cases(self) -> DataFrame:
+        return self.rows.groupBy("hle_id").agg(F.sort_array(F.collect_list("case_id")).alias("cases"))
+
+    @property
+    def paths(self) -> DataFrame:
+        return self.found.listing()
+
+    @property
+    def hla(self) -> DataFrame:
+        return self.activities.listing()
 
 
 def path_analysis(log: DataFrame, width: str | int = "days", chosen: tuple[str, ...] = features.PATH_FEATURES, share: float = 0.9, by: str = "type", traffic: tuple[str, ...] = ("High",), least_overlap: float = 0.5, least_path_overlap: float = 0.5, path_frequency: int = 0, segment_share: float = 0.8, only_maximal: bool = True, ties: bool = True, compat: str = "fixed", activities: tuple[str, ...] | None = None, resources: tuple[str, ...] | None = None) -> Paths:
@@ -69,12 +83,12 @@ def path_analysis(log: DataFrame, width: str | int = "days", chosen: tuple[str,
     p = prepare(log, width, ties, compat, features.Scope(activities, resources, kept))
     stage = Staging(log.sparkSession, "analysis")
     _, hles = high_level_events(p, chosen, share, by, traffic, compat)
-    cases = stage.table(detect.case_sets(hles, features.all_instances(chosen, p.log, p.steps, p.frame, compat, p.scope)), "cases")
+    cases = stage.table(detect.case_rows(hles, features.all_instances(chosen, p.log, p.steps, p.frame, compat, p.scope)), "cases")
     arcs = stage.table(overlap.arcs(overlap.spreads(hles), cases, least_overlap), "arcs")
     usable = paths.prune_arcs(arcs, least_path_overlap) if least_path_overlap > least_overlap else arcs
-    found = stage.table(paths.hle_paths(hles.select("hle_id"), usable, cases, least_path_overlap, only_maximal), "paths")
-    hla = stage.table(paths.frequent(paths.hla_paths(found, hles), path_frequency), "hla")
-    return Paths(hles, cases, arcs, found, hla)
+    numbers = stage.table(casebits.numbered(p.log), "numbers")
+    found = forest.grow(hles.select("hle_id"), usable, cases, least_path_overlap, only_maximal, numbers=numbers)
+    return Paths(hles, cases, arcs, found, participation.activities_of(found, hles).frequent(path_frequency))
 
 
 def outcome_study(log: DataFrame, amount: str | None = None, complete: tuple[str, ...] = ("A_Pending", "A_Cancelled", "A_Denied"), success: str = "A_Pending", **settings) -> dict[str, DataFrame]:
@@ -85,8 +99,8 @@ def outcome_study(log: DataFrame, amount: str | None = None, complete: tuple[str
     if "lifecycle" in kept.columns:
         kept = steps.relabel_lifecycle(kept)
     found = path_analysis(kept, **(preset | settings))
-    table = Staging(log.sparkSession, "study").table(paths.statistics(found.hla, steps.control_flow(kept)), "statistics")
-    out = {"statistics": table, "success": stats.result_table(table, stats.outcome_partition(kept, success), 2, ["succ", "notsucc"]), "throughput": stats.result_table(table, stats.throughput_partition(kept), 3, ["under10", "10to30", "over30"])}
+    table = participation.statistics(found.activities, kept)
+    out = {"statistics": table.listing(), "success": stats.result_table(table, stats.outcome_partition(kept, success), 2, ["succ", "notsucc"]), "throughput": stats.result_table(table, stats.throughput_partition(kept), 3, ["under10", "10to30", "over30"])}
     if amount:
         out["amount"] = stats.result_table(table, stats.amount_partition(kept, amount), 2, ["under", "over"])
     return out

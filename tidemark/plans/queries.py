@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.sets import contains_run, jaccard
 from tidemark.functions.units import unit_number
-from tidemark.operators import cascade, detect, features, hl_log, link, overlap, paths, stats, steps, windows
+from tidemark.operators import casebits, cascade, detect, features, forest, hl_log, link, overlap, participation, paths, stats, steps, windows
 from tidemark.sources import logs
 from tidemark.storage import Staging
 
@@ -428,7 +428,7 @@ def hle_spread(spark, sf_dir):
 def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     p, found = _day(spark, sf_dir), _hles(spark, sf_dir, features.PATH_FEATURES)
     stage = Staging(spark, "overlaps")
-    cases = stage.table(detect.case_sets(found, features.all_instances(features.PATH_FEATURES, p.log, p.steps, p.frame)), "cases")
+    cases = stage.table(detect.case_rows(found, features.all_instances(features.PATH_FEATURES, p.log, p.steps, p.frame)), "cases")
     return found, cases, stage.table(overlap.arcs(overlap.spreads(found), cases, OVERLAP), "arcs")
 
 
@@ -458,9 +458,10 @@ def time_overlaps(spark, sf_dir):
     return a.join(b, "at").filter(overlap.windows_overlap("end_first", "end_last", "start_first", "start_last")).select("src", "dst")
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _paths(spark: SparkSession, sf_dir: str, only_maximal: bool = True) -> tuple[DataFrame, forest.Found]:
     found, cases, arcs = _overlaps(spark, sf_dir)
-    return found, paths.hle_paths(found.select("hle_id"), arcs, cases, OVERLAP)
+    numbers = Staging(spark, "cases").table(casebits.numbered(_log(spark, sf_dir)), "numbers")
+    return found, forest.grow(found.select("hle_id"), arcs, cases, OVERLAP, only_maximal, numbers=numbers)
 
 
 _CASES = "array_to_string(list_transform(list_sort(cases), lambda x: CAST(x AS VARCHAR)), ',') AS cases"
@@ -468,12 +469,12 @@ _CASES = "array_to_string(list_transform(list_sort(cases), lambda x: CAST(x AS V
 
 @query("hle_paths", sql.query(f"SELECT array_to_string(path, '>') AS path, {_CASES} FROM ended", "ended"))
 def hle_paths(spark, sf_dir):
-    return _paths(spark, sf_dir)[1].select(_joined("path").alias("path"), F.array_join(F.sort_array("cases").cast("array<string>"), ",").alias("cases"))
+    return _paths(spark, sf_dir)[1].listing().select(_joined("path").alias("path"), F.array_join(F.sort_array("cases").cast("array<string>"), ",").alias("cases"))
 
 
-def _hla(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hla(spark: SparkSession, sf_dir: str) -> participation.Activities:
     found, all_paths = _paths(spark, sf_dir)
-    return paths.hla_paths(all_paths, found)
+    return participation.activities_of(all_paths, found)
 
 
 def _shown(c: str) -> Column:
@@ -482,30 +483,30 @@ def _shown(c: str) -> Column:
 
 @query("hla_paths", sql.query(f"SELECT path, frequency, {_CASES} FROM hla", "hla"))
 def hla_paths(spark, sf_dir):
-    return _hla(spark, sf_dir).select(_shown("hla_path").alias("path"), "frequency", _joined("cases", ",").alias("cases"))
+    return _hla(spark, sf_dir).listing().select(_shown("hla_path").alias("path"), "frequency", _joined("cases", ",").alias("cases"))
 
 
 @query("hla_paths_frequent", sql.query("SELECT path, frequency FROM hla WHERE frequency >= 3", "hla"))
 def hla_paths_frequent(spark, sf_dir):
-    return paths.frequent(_hla(spark, sf_dir), 3).select(_shown("hla_path").alias("path"), "frequency")
+    return _hla(spark, sf_dir).frequent(3).table.select(_shown("hla_path").alias("path"), "frequency")
 
 
 @query("maximal_paths", sql.query("SELECT DISTINCT array_to_string(path, '>') AS path FROM walk w WHERE NOT EXISTS (SELECT 1 FROM walk v WHERE len(v.path) > len(w.path) AND v.path[1:len(w.path)] = w.path)", "walk"))
 def maximal_paths(spark, sf_dir):
-    return paths.maximal(_paths(spark, sf_dir)[1]).select(_joined("path").alias("path")).distinct()
+    return paths.maximal(_paths(spark, sf_dir)[1].paths).select(_joined("path").alias("path")).distinct()
 
 
 _STATS = """SELECT h.path, h.length, h.frequency, (SELECT count(DISTINCT p.case_id) FROM pool p WHERE p.path = h.path) AS n_relevant, len(h.cases) AS n_participating,
  (SELECT count(DISTINCT p.case_id) FROM pool p WHERE p.path = h.path AND NOT list_contains(h.cases, p.case_id)) AS n_non_participating FROM hla h"""
 
 
-def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.statistics(_hla(spark, sf_dir), steps.control_flow(_log(spark, sf_dir)))
+def _statistics(spark: SparkSession, sf_dir: str) -> participation.Statistics:
+    return participation.statistics(_hla(spark, sf_dir), _log(spark, sf_dir))
 
 
 @query("path_statistics", sql.query(_STATS, "hla", "pool"))
 def path_statistics(spark, sf_dir):
-    return _statistics(spark, sf_dir).select(_shown("path").alias("path"), "length", "frequency", "n_relevant", "n_participating", "n_non_participating")
+    return _statistics(spark, sf_dir).table.select(_shown("path").alias("path"), "length", "frequency", "n_relevant", "n_participating", "n_non_participating")
 
 
 @query("hles_by_case", sql.query("SELECT case_id, array_to_string(list_sort(list(hle_id)), ';') AS hles FROM (SELECT hle_id, unnest(cases) AS case_id FROM sets) GROUP BY case_id", "sets"))
@@ -572,7 +573,8 @@ def contiguous_runs(spark, sf_dir):
 
 @query("case_jaccard", sql.query("SELECT hle_id, round(CAST(len(list_intersect(cases, [1, 2, 3, 4, 5])) AS DOUBLE) / len(list_distinct(list_concat(cases, [1, 2, 3, 4, 5]))), 9) AS overlap FROM sets", "sets"))
 def case_jaccard(spark, sf_dir):
-    return _overlaps(spark, sf_dir)[1].select("hle_id", F.round(jaccard(F.col("cases"), F.array(*[F.lit(i).cast("long") for i in range(1, 6)])), 9).alias("overlap"))
+    sets = _overlaps(spark, sf_dir)[1].groupBy("hle_id").agg(F.collect_list("case_id").alias("cases"))
+    return sets.select("hle_id", F.round(jaccard(F.col("cases"), F.array(*[F.lit(i).cast("long") for i in range(1, 6)])), 9).alias("overlap"))
 
 
 def enter_exit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,8 @@ def hles(values: str, limit: str, by: str, traffic: tuple[str, ...] = ("High",))
     on = " AND ".join(f"v.{k} IS NOT DISTINCT FROM t.{k}" for k in keys)
     enough = "n > bundle" if by == "type" else "n >= 10"
     classes = ", ".join(f"'{c}'" for c in traffic)
-    return f"""SELECT *, concat_ws('|', lpad(CAST(w1 AS VARCHAR), 8, '0'), lpad(CAST(w2 AS VARCHAR), 8, '0'), f_type, comp_type, e1, coalesce(e2, ''), class) AS hle_id FROM (
+    safe = lambda c: f"replace(replace(coalesce({c}, ''), chr(92), chr(92) || chr(92)), '|', chr(92) || '|')"
+    return f"""SELECT *, concat_ws('|', lpad(CAST(w1 AS VARCHAR), 8, '0'), lpad(CAST(w2 AS VARCHAR), 8, '0'), f_type, comp_type, {safe('e1')}, {safe('e2')}, class) AS hle_id FROM (
  SELECT v.*, t.bundle, CASE WHEN value < low THEN 'Low' WHEN value > high THEN 'High' ELSE 'Normal' END AS class FROM {values} v JOIN {limit} t ON {on})
  WHERE class IN ({classes}) AND (f_type <> 'delay' OR {enough})"""
 
