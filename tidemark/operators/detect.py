@@ -27,13 +27,6 @@ def group_of(by: str) -> list[str]:
     return ["f_type", "comp_type"] if by == "type" else ENTITY
 
 
-# Values have 6 places and percentiles lie between two of them at a short fraction: at 9 places no engine rounds another way.
-def _edges(values: DataFrame, keys: list[str], p: float, stage: Staging) -> DataFrame:
-    """low and high by key: percentiles of the values but zeros, or what nothing is below or above."""
-    found = percentiles(values.withColumn("value", F.nullif("value", F.lit(0.0))), keys, "value", {"low": round((100 - p * 100) / 100, 9), "high": p}, stage)
-    return _with(values.select(*keys).distinct(), found, keys).select(*keys, F.coalesce(F.round("low", 9), F.lit(NO_LOW)).alias("low"), F.coalesce(F.round("high", 9), F.lit(NO_HIGH)).alias("high"))
-
-
 def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """A left join by null-safe keys, as only segments have e2."""
     named = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -51,13 +44,24 @@ def thresholds(values: DataFrame, p: float, by: str = "type") -> DataFrame:
     """
     share(p)
     keys = group_of(by)
-    stage = lambda n: Staging(values.sparkSession, f"thresholds-{n}")
-    plain = _edges(values.filter("f_type <> 'delay'"), keys, p, stage("plain")).withColumn("bundle", F.lit(None).cast("double"))
-    delays = values.filter("f_type = 'delay' and n > 0")
-    edges = stage("delays").table(_edges(delays, keys, DELAY_SHARE, stage("edges")), "edges")
-    sizes = _with(delays.select(*keys, "value", "n"), edges.select(*keys, "high"), keys).filter("value > high and n <> 0")
-    bundles = percentiles(sizes, keys, "n", {"bundle": p}, stage("bundles")).withColumn("bundle", F.round("bundle", 9))
-    return plain.unionByName(_with(edges, bundles, keys).select(*keys, "low", "high", F.coalesce("bundle", F.lit(NO_HIGH)).alias("bundle")))
+    stage = Staging(values.sparkSession, "thresholds")
+    # values and sizes of bundles with their numbers, few beside the values, are all that is read on
+    delay = F.col("f_type") == "delay"
+    counts = stage.table(values.filter(~delay | (F.col("n") > 0)).groupBy(*keys, "value", F.when(delay, F.col("n")).alias("size")).agg(F.count("*").alias("n")), "counts")
+    low = lambda q: round((100 - q * 100) / 100, 9)
+    shares = {"low": low(p), "high": p, "delay_low": low(DELAY_SHARE), "delay_high": DELAY_SHARE}
+    found = percentiles(counts.withColumn("value", F.nullif("value", F.lit(0.0))), keys, "value", shares, Staging(values.sparkSession, "values"), "n")
+    # Values have 6 places and percentiles lie between two of them at a short fraction: at 9 places no engine rounds another way.
+    edge = lambda c, none: F.coalesce(F.round(F.when(delay, F.col(f"delay_{c}")).otherwise(F.col(c)), 9), F.lit(none)).alias(c)
+    edges = _with(counts.select(*keys).distinct(), found, keys).select(*keys, edge("low", NO_LOW), edge("high", NO_HIGH))
+    delays = counts.filter(delay)
+    if delays.isEmpty():
+        return edges.withColumn("bundle", F.lit(None).cast("double"))
+    edges = stage.table(edges, "edges")
+    sizes = _with(delays, edges.select(*keys, "high"), keys).filter("value > high and size <> 0")
+    bundles = percentiles(sizes, keys, "size", {"bundle": p}, Staging(values.sparkSession, "bundles"), "n")
+    both = _with(edges, bundles, keys)
+    return both.select(*keys, "low", "high", F.when(delay, F.coalesce(F.round("bundle", 9), F.lit(NO_HIGH))).alias("bundle"))
 
 
 def class_of(value: Column, low: Column, high: Column) -> Column:

@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import Staging
+
 from .steps import finals
 from .windows import Frame
 
@@ -175,57 +177,58 @@ def changes(f_type: str, log: DataFrame, steps: DataFrame, f: Frame, compat: str
     return out.filter("e1 is not null")
 
 
-def open_runs(changed: DataFrame, block: int = BLOCK) -> DataFrame:
+def open_runs(changed: DataFrame, stage: Staging, block: int = BLOCK) -> DataFrame:
     """Runs of windows (entity, first, last, open, since) in which nothing changes, with hits and waited of the first one.
 
-    Running sums stay within a block of windows of an entity. What earlier blocks leave open is carried in; runs are
-    cut at borders of blocks, and what is open over blocks without changes is one run.
+    Changes are summed by entity and window and written once. Running sums stay within a block of windows of an
+    entity; what earlier blocks leave open is carried in. Runs are cut at borders of blocks; a block's first row also gives the run
+    before it, and its last one the run over the blocks without changes that follow.
     """
-    whole = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  sums of times pass 64 bits
-    at = changed.withColumn("since", whole("since")).groupBy(*ENTITY, "w").agg(*[F.sum(c).alias(c) for c in ("opened", "since", "hits", "waited")])
-    at = at.withColumn("block", F.floor(F.col("w") / block))
+    at = changed.withColumn("since", F.col("since").cast("decimal(19,0)")).groupBy(*ENTITY, "w").agg(*[F.sum(c).alias(c) for c in ("opened", "since", "hits", "waited")])
+    at = stage.table(at.withColumn("block", F.floor(F.col("w") / block)), "changes")
+    # one row a block and entity: what those before it left open, and the next block
+    order = Window.partitionBy(*ENTITY).orderBy("block")
+    totals = at.groupBy(*ENTITY, "block").agg(F.sum("opened").alias("o"), F.sum("since").alias("s"))
+    carried = [F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name) for c, name in (("o", "open_in"), ("s", "since_in"))]
+    carry = totals.select(*[F.col(k).alias(f"_{k}") for k in [*ENTITY, "block"]], *carried, F.lead("block").over(order).alias("next"))
+    on = F.lit(True)
+    for k in [*ENTITY, "block"]:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     inside = Window.partitionBy(*ENTITY, "block").orderBy("w")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = at.select(*ENTITY, "block", F.col("w").alias("first"), (F.lead("w").over(inside) - 1).alias("last"), F.sum("opened").over(upto).alias("open"), F.sum("since").over(upto).alias("since"), "hits", "waited")
-    # one row a block and entity: what it opens in all, and what those before it left open
-    blocks = at.groupBy(*ENTITY, "block").agg(F.min("first").alias("start"), F.max_by("open", "first").alias("open"), F.max_by("since", "first").alias("since"))
-    order = Window.partitionBy(*ENTITY).orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_in") for c in ("open", "since")]
-    blocks = blocks.select(*ENTITY, "block", "start", "open", "since", *sums, F.lead("block").over(order).alias("next"))
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*ENTITY, "block"]]
-    ended = F.coalesce("a.last", (F.col("a.block") + 1) * block - 1)
-    runs = at.alias("a").join(blocks.alias("b"), on).select(*[f"a.{k}" for k in ENTITY], "a.first", ended.alias("last"), (F.col("a.open") + F.col("open_in")).alias("open"), (F.col("a.since") + F.col("since_in")).cast("decimal(38,0)").alias("since"), "hits", "waited")
-    quiet = lambda df, first, last, open_, since: df.select(*ENTITY, first.alias("first"), last.alias("last"), open_.alias("open"), since.cast("decimal(38,0)").alias("since"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("waited")).filter("open > 0 and first <= last")
-    begin, end = F.col("block") * block, (F.col("block") + 1) * block
-    head = quiet(blocks, begin, F.col("start") - 1, F.col("open_in"), F.col("since_in"))
-    gap = quiet(blocks, end, F.col("next") * block - 1, F.col("open_in") + F.col("open"), F.col("since_in") + F.col("since"))
-    return runs.filter("open > 0 or hits > 0").unionByName(head).unionByName(gap)
-
-
-def span_values(changed: DataFrame, f_type: str, f: Frame) -> DataFrame:
-    """What evaluate() gives of a feature of spans, window by window; spans' own windows are not kept."""
-    runs = open_runs(changed)
+    here = at.select(*ENTITY, "block", "w", "hits", "waited", F.lag("w").over(inside).alias("before"), F.lead("w").over(inside).alias("after"), F.sum("opened").over(upto).alias("o"), F.sum("since").over(upto).alias("s"))
+    open_, since = F.col("o") + F.col("open_in"), (F.col("s") + F.col("since_in")).cast("decimal(38,0)")
+    start, end, zero = F.col("block") * block, (F.col("block") + 1) * block, F.lit(0).cast("long")
+    run = lambda first, last, o, s, hits, waited: F.struct(first.alias("first"), last.alias("last"), o.alias("open"), s.cast("decimal(38,0)").alias("since"), hits.alias("hits"), waited.alias("waited"))
+    none = F.lit(None)
+    runs = F.array(
+        run(F.col("w"), F.coalesce(F.col("after") - 1, end - 1), open_, since, F.col("hits"), F.col("waited")),
+        F.when(F.col("before").isNull() & (F.col("w") > start), run(start, F.col("w") - 1, F.col("open_in"), F.col("since_in"), zero, zero)).otherwise(none),
+        F.when(F.col("after").isNull() & (F.col("next") * block > end), run(end, F.col("next") * block - 1, open_, since, zero, zero)).otherwise(none),
+    )
+    found = here.join(carry, on).select(*ENTITY, F.explode(F.filter(runs, lambda r: (r["open"] > 0) | (r["hits"] > 0))).alias("r"))
+    return found.select(*ENTITY, "r.*")
+
+
+def span_values(changed: DataFrame, f: Frame) -> DataFrame:
+    """What evaluate() gives of features of spans, window by window; spans' own windows are not kept."""
+    runs = open_runs(changed, Staging(changed.sparkSession, "spans"))
     each = runs.withColumn("w", F.explode(F.when(F.col("open") > 0, F.sequence("first", "last")).otherwise(F.array("first"))))
     here = F.col("w") == F.col("first")
     n = F.col("open") + F.when(here, F.col("hits")).otherwise(0)
-    value = n.cast("double")
-    if f_type == "wt":
-        total = (f.right(F.col("w")) * TICKS).cast("decimal(19,0)") * F.col("open") - F.col("since") + F.when(here, F.col("waited")).otherwise(0)
-        value = total.cast("double") / F.lit(TICKS) / n
+    total = (f.right(F.col("w")) * TICKS).cast("decimal(19,0)") * F.col("open") - F.col("since") + F.when(here, F.col("waited")).otherwise(0)
+    value = F.when(F.col("f_type") == "wt", total.cast("double") / F.lit(TICKS) / n).otherwise(n.cast("double"))
     none = [F.lit(None).cast("long").alias(c) for c in ("w_i_min", "w_i_max", "w_j_min", "w_j_max")]
     return each.filter(n > 0).select(*ENTITY, F.col("w").alias("w1"), F.col("w").alias("w2"), F.round(value, 6).alias("value"), n.alias("n"), *none)
 
 
 def values(features: tuple[str, ...], log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed", scope: Scope = ALL) -> DataFrame:
-    """Values of the chosen features alone: others' branches are not in the plan."""
-
-    def one(x: str) -> DataFrame:
-        if x in SPANS:
-            return span_values(scope.of(changes(x, log, steps, f, compat), x), x, f)
-        return evaluate(scope.of(instances(x, log, steps, f, compat), x), x)
-
-    return reduce(DataFrame.unionByName, [one(x) for x in features])
+    """Values of the chosen features alone: others' branches are not in the plan. Changes of all features of spans are written as one table."""
+    out = [evaluate(scope.of(instances(x, log, steps, f, compat), x), x) for x in features if x not in SPANS]
+    spans = [scope.of(changes(x, log, steps, f, compat), x) for x in features if x in SPANS]
+    if spans:
+        out.append(span_values(reduce(DataFrame.unionByName, spans), f))
+    return reduce(DataFrame.unionByName, out)
 
 
 def all_instances(features: tuple[str, ...], log: DataFrame, steps: DataFrame, f: Frame, compat: str = "fixed", scope: Scope = ALL) -> DataFrame:

@@ -94,7 +94,7 @@ class Statistics:
 def statistics(hla: Activities, log: DataFrame, compat: str = "fixed") -> Statistics:
     """For each path: length, frequency, and its relevant, participating and other relevant cases with their numbers."""
     stage = Staging(log.sparkSession, "statistics")
-    acts = stage.table(hla.table.select("hla", "hla_path", project(F.col("hla_path")).alias("acts")), "acts")
+    acts = hla.table.select("hla", "hla_path", project(F.col("hla_path")).alias("acts"))
     if compat == "reference":
         from .paths import case_pool
         from .steps import control_flow

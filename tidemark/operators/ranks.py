@@ -36,12 +36,13 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def percentiles(values: DataFrame, keys: list[str], value: str, shares: dict[str, float], stage: Staging | None = None) -> DataFrame:
+def percentiles(values: DataFrame, keys: list[str], value: str, shares: dict[str, float], stage: Staging | None = None, n: str | None = None) -> DataFrame:
     """Keys and, for each name in ``shares``, the exact percentile of the keys' values, between two of them in proportion.
 
-    Nulls do not count, and keys without values have no row.
+    Nulls do not count, and keys without values have no row. A row stands for ``n`` values, or one.
     """
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    times = F.count("*") if n is None else F.sum(n)
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(times.alias("_c"))
     places = ranked(counts, keys, ["_v"], "_c", stage)
     sizes = places.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("_c").alias("_size"))
     sized = places.join(sizes, _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))

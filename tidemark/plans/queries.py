@@ -46,17 +46,19 @@ def _day(spark: SparkSession, sf_dir: str) -> Prepared:
     return Prepared(windows.with_windows(log, f), windows.steps_with_windows(steps.total_order(log), f), f)
 
 
-def _values(spark: SparkSession, sf_dir: str, chosen: tuple[str, ...]) -> DataFrame:
-    p = _day(spark, sf_dir)
-    if len(chosen) > 2:
-        # each feature is a branch of the plan: they share what is written once
-        stage = Staging(spark, "day")
-        p = Prepared(stage.table(p.log, "log"), stage.table(p.steps, "steps"), p.frame)
+def _staged_day(spark: SparkSession, sf_dir: str) -> Prepared:
+    """The same, written once: each feature is a branch of the plan, and links read it too."""
+    p, stage = _day(spark, sf_dir), Staging(spark, "day")
+    return Prepared(stage.table(p.log, "log"), stage.table(p.steps, "steps"), p.frame)
+
+
+def _values(spark: SparkSession, sf_dir: str, chosen: tuple[str, ...], p: Prepared | None = None) -> DataFrame:
+    p = p or (_staged_day if len(chosen) > 2 else _day)(spark, sf_dir)
     return features.values(chosen, p.log, p.steps, p.frame)
 
 
-def _hles(spark: SparkSession, sf_dir: str, chosen: tuple[str, ...], by: str = "type", traffic: tuple[str, ...] = ("High",)) -> DataFrame:
-    values = Staging(spark, "values").table(_values(spark, sf_dir, chosen), "values")
+def _hles(spark: SparkSession, sf_dir: str, chosen: tuple[str, ...], by: str = "type", traffic: tuple[str, ...] = ("High",), p: Prepared | None = None) -> DataFrame:
+    values = Staging(spark, "values").table(_values(spark, sf_dir, chosen, p), "values")
     return Staging(spark, "hles").table(detect.detect(values, detect.thresholds(values, 0.9, by), traffic, by), "hles")
 
 
@@ -387,8 +389,9 @@ def cascade_edges(spark, sf_dir):
 
 
 def _cascades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = _hles(spark, sf_dir, features.LOG_FEATURES)
-    return found, cascade.cascades(found, link.spread(_links(spark, sf_dir)), LINK)
+    p = _staged_day(spark, sf_dir)
+    found = _hles(spark, sf_dir, features.LOG_FEATURES, p=p)
+    return found, cascade.cascades(found, link.spread(link.links(p.log, p.steps)), LINK)
 
 
 @query("cascade_id", sql.query("SELECT * FROM cascades", "cascades"))
@@ -426,7 +429,8 @@ def hle_spread(spark, sf_dir):
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p, found = _day(spark, sf_dir), _hles(spark, sf_dir, features.PATH_FEATURES)
+    p = _staged_day(spark, sf_dir)
+    found = _hles(spark, sf_dir, features.PATH_FEATURES, p=p)
     stage = Staging(spark, "overlaps")
     cases = stage.table(detect.case_rows(found, features.all_instances(features.PATH_FEATURES, p.log, p.steps, p.frame)), "cases")
     return found, cases, stage.table(overlap.arcs(overlap.spreads(found), cases, OVERLAP), "arcs")
