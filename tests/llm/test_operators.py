@@ -307,11 +307,13 @@ def test_hosts_of_every_verdict_equal_sql(spark):
     kinds = {"clean": clean, "mild": mild.rstrip("\n"), "gross": gross.rstrip("\n"), "worst": worst, "base": "too few"}
     shares = {"rotten": {"base": 1900, "clean": 100}, "suspect": {"clean": 300, "mild": 300, "gross": 700, "worst": 700}, "trusted": {"clean": 1995, "mild": 2, "gross": 2, "worst": 1}}
     shares |= {f"plain{i}": {"clean": 1500 + 10 * i, "mild": 100, "gross": 100, "base": 200, "worst": 100} for i in range(8)}
+    # a null host and an empty one are two, and fail in unlike shares
+    shares |= {None: {"base": 500}, "": {"clean": 500}}
     rows = [(h, k, kinds[k]) for h, by in shares.items() for k, n in by.items() for _ in range(n)]
     documents = pd.DataFrame([(i, t, h, k) for i, (h, k, t) in enumerate(rows)], columns=["doc_id", "text", "source", "kind"])
     out = quality_rules.judge(spark.createDataFrame(documents))
     verdicts = {r.source: r.host_verdict for r in out.select("source", "host_verdict").distinct().collect()}
-    assert {verdicts[h] for h in shares if h.startswith("plain")} == {"ordinary"}
+    assert {verdicts[h] for h in shares if (h or "").startswith("plain")} == {"ordinary"}
     assert [verdicts[h] for h in ("rotten", "suspect", "trusted")] == ["rejected", "suspect", "trusted"]
     stay = {(r.host_verdict, r.kind) for r in out.filter("kept").select("host_verdict", "kind").distinct().collect()}
     assert stay == {("suspect", "clean"), ("ordinary", "clean"), ("ordinary", "mild"), ("trusted", "clean"), ("trusted", "mild"), ("trusted", "gross")}
@@ -520,6 +522,39 @@ def test_html_loses_no_article_text():
     assert html_text.extract_text("<p>kept</p><a href='x' never ends") == "kept"
 
 
+WRAPPERS = "has-sidebar no-sidebar share-story with-comments widget menu-open nav-open site-header-fixed ad-free article-social banner-hidden side-by-side elementor-widget menu-card-review".split()
+
+
+def wrapped_page(rng, name):
+    """A page whose article lies in containers of that name or in a form, and its text; the generator knows what belongs to it."""
+    say = lambda n: " ".join(rng.choices("river, stone hill, cloud wind grass, and over under light".split(), k=n)).strip(",") + "."
+    body = [say(rng.randrange(25, 60)) for _ in range(rng.randrange(2, 6))]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    inner = rng.choice([inner, f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div class='content'>{inner}</div>"])
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Page {i}</a></li>" for i in range(rng.randrange(2, 9))) + "</ul>"
+    before = rng.choice(["", f"<nav>{links}</nav>", f"<div class='menu'>{links}</div>", f"<header>{links}</header>"])
+    after = rng.choice(["", "<footer><p>About us</p></footer>", f"<div class='sidebar'><p>{say(4)}</p></div>", f"<div id='comments'><p>{say(8)}</p></div>", f"<aside>{links}</aside>"])
+    inside, open_ = rng.random() < 0.5, rng.choice([f"<div class='{name}'>", f"<section id='{name}'>", "<form method='post'>"])
+    close = "</form>" if "form" in open_[:5] else "</div>" if open_.startswith("<div") else "</section>"
+    page = f"{open_}{before}{inner}{after}{close}" if inside else f"{before}{open_}{inner}{close}{after}"
+    return f"<html><body>{page}</body></html>", " ".join(body)
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_html_keeps_articles_whose_wrappers_have_suspect_names(name):
+    rng = random.Random(WRAPPERS.index(name))
+    for _ in range(60):
+        page, want = wrapped_page(rng, name)
+        assert html_text.extract_text(page) == want, page
+
+
+def test_html_comments_go_however_long_they_are_beside_an_article():
+    remark = "<article class='comment'><p>" + "I agree, and more, and more. " * 30 + "</p></article>"
+    body = "A short article, which is all, of two lines or so, that a reader came for."
+    assert html_text.extract_text(f"<body><main><article><p>{body}</p></article><div id='comments'>{remark * 5}</div></main></body>") == body
+    assert html_text.extract_text(f"<body><article><p>{body}</p></article><aside>{remark}</aside></body>") == body
+
+
 @pytest.mark.parametrize("part", ["<div>", "<a '", "<p>x<div>", "<b>x", "<td>x<div>", "<!-", "</ ", "<a b='", "<p><td><i>x</b>", "&amp;<", "<ul><li>x"])
 def test_html_is_linear(part):
     import time

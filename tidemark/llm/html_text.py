@@ -1,8 +1,11 @@
 """HTML extraction by tree scoring: paragraphs pass points to their ancestors, the best container is kept.
 
-A page is cut into tags and text, the tree of block elements is built as browsers close open
-paragraphs, and elements that are no article by tag, role or name (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) go with all that they hold. Names of containers
+A page is cut into tags and text, and the tree of block elements is built as browsers close open
+paragraphs. What no reader sees (scripts, styles, hidden elements) and controls go at once. Elements that are no article by tag, role or
+name (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) are suspect: their points count for
+PENALTY of theirs, and they go, with all that they hold, only if that is less than the points outside of suspects. So a wrapper
+that is named after what it also holds ("with-sidebar") stays, and what it holds is judged in turn. Around the page's
+foremost article or main no element goes, and suspects beside it always do. Names of containers
 count by their parts ("cookie-notice"), those of paragraphs and inline elements as whole classes, and those of headings
 not at all. Each paragraph gives points for its length and commas to its parent, half of them to the grandparent, a third
 to the one above. Points are discounted by link density; the best container, or the outermost article or main
@@ -38,8 +41,10 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 #: Their content is text up to their own end tag.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-#: Tags that never hold the article.
-APART = frozenset(("nav", "header", "footer", "aside", "form", "button", "select", "option", "head", "template", "svg", "canvas", "object", "dialog", "menu", "fieldset")) | RAW
+#: Tags that never hold the article, and those that seldom do.
+NEVER = frozenset(("button", "select", "option", "head", "template", "svg", "canvas", "object")) | RAW
+SELDOM = frozenset(("nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset"))
+APART = NEVER | SELDOM
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -55,6 +60,18 @@ NAMES = re.compile(
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "article", "main"))
 CONTAINERS = frozenset(("div", "section", "ul", "ol", "dl", "table", "td", "details", "figure"))
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Articles that are comments of readers.
+REMARK = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|reply|replies|respond)(?:$|[-_\s0-9])", re.I)
+#: What points of a suspect element count, against those outside of suspects.
+PENALTY = 1 / 3
+#: Articles that are comments of readers.
+REMARK = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|reply|replies|respond)(?:$|[-_\s0-9])", re.I)
+#: What points of a suspect element count, against those outside of suspects.
+PENALTY = 1 / 3
+#: Articles that are comments of readers.
+REMARK = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|reply|replies|respond)(?:$|[-_\s0-9])", re.I)
+#: What points of a suspect element count, against those outside of suspects.
+PENALTY = 1 / 3
 #: A sibling stays if it has this share of the best score, or fewer links than this.
 SIBLING_SHARE, SIBLING_LINKS = 0.2, 0.25
 
@@ -64,6 +81,9 @@ class Node:
     tag: str
     parent: Node | None
     apart: bool = False
+    suspect: bool = False
+    held: float = 0.0
+    clean: float = 0.0
     points: float = 0.0
     chars: int = 0
     links: int = 0
@@ -83,20 +103,22 @@ class Block:
     text: str
     links: int
 
+    def points(self) -> float:
+        return (1 + self.text.count(",") + min(len(self.text) / 100, 3)) * (1 - self.links / max(1, len(self.text)))
 
-def _is_apart(tag: str, attributes: str) -> bool:
-    if tag in APART:
-        return True
+
+def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element goes at once, and whether it is suspect."""
+    gone, suspect = tag in NEVER, tag in SELDOM
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES or name == "style" and HIDDEN.search(value):
-            return True
+        gone |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(HIDDEN.search(value))
+        suspect |= name == "role" and value.lower() in ROLES
         if name in ("class", "id") and tag not in HEADINGS:
-            if tag in CONTAINERS and NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-                return True
-            if name == "class" and any(NAMES.fullmatch(x) for x in value.split()):
-                return True
-    return False
+            suspect |= tag in CONTAINERS and bool(NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)))
+            suspect |= name == "class" and any(NAMES.fullmatch(x) for x in value.split())
+        suspect |= tag == "article" and name in ("class", "id") and bool(REMARK.search(value))
+    return gone, suspect
 
 
 class Scanner:
@@ -198,7 +220,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             if tag in SAME_ENDS:
                 close(SAME_ENDS[tag], ("ul", "ol", "dl", "table"))
             parent = stack[-1]
-            child = Node(tag, parent, parent.apart or _is_apart(tag, attributes))
+            gone, suspect = _judged(tag, attributes)
+            child = Node(tag, parent, parent.apart or gone, suspect)
             parent.children.append(child)
             nodes.append(child)
             if not attributes.endswith("/") or tag not in ("svg", "canvas", "object"):
@@ -224,14 +247,67 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             opened[tag] += 1
             if tag == "a":
                 link = True
-            if not skip_inline and not stack[-1].apart and _is_apart(tag, attributes):
+            if not skip_inline and not stack[-1].apart and any(_judged(tag, attributes)):
                 skip_inline = len(inline)
     flush()
     return nodes, blocks
 
 
+def foremost(nodes: list[Node]) -> Node | None:
+    """The article or main with the most points outside of suspects in it; instead of it one inside that has half of these."""
+    inner: dict[int, Node | None] = {}
+    best = None
+    for n in nodes:
+        over = inner[id(n.parent)] if n.parent is not None else None
+        inner[id(n)] = over
+        if n.tag in ("article", "main") and not n.suspect and not n.apart:
+            inner[id(n)] = n
+            if best is None or n.clean > best.clean or over is best and 2 * n.clean >= best.clean:
+                best = n
+    return best
+
+
+def cut_suspects(nodes: list[Node], blocks: list[Block]) -> list[Block]:
+    """Marks suspects that go, and all that they hold, as apart; the blocks that stay."""
+    own: dict[int, float] = defaultdict(float)
+    above: dict[int, Node] = {}
+    for n in nodes:
+        above[id(n)] = n if n.suspect or n.parent is None else above[id(n.parent)]
+    for b in blocks:
+        points = b.points()
+        b.node.held += points
+        b.node.clean += points
+        own[id(above[id(b.node)])] += points
+    for n in reversed(nodes[1:]):
+        n.parent.held += n.held
+        n.parent.clean += 0 if n.suspect else n.clean
+    article = foremost(nodes)
+    around, at = set(), article
+    while at is not None:
+        around.add(id(at))
+        at = at.parent
+    within = {id(article)} if article is not None else set()
+    for n in nodes[1:]:
+        if id(n.parent) in within:
+            within.add(id(n))
+    clean = own[id(nodes[0])]
+    gone = set()
+    # those that hold more come first, so outer ones before those inside; the order of equals is the page's
+    for n in sorted((n for n in nodes[1:] if n.suspect and not n.apart), key=lambda n: -n.held):
+        if id(above[id(n.parent)]) in gone:
+            gone.add(id(n))
+        elif id(n) not in around and (article is not None and id(n) not in within or PENALTY * n.held < clean or not n.held):
+            gone.add(id(n))
+        else:
+            clean += own[id(n)]
+    for n in nodes[1:]:
+        n.apart |= n.parent.apart or id(n) in gone
+    return [b for b in blocks if not b.node.apart]
+
+
 def main_blocks(page: str) -> list[str]:
     nodes, blocks = parse(page)
+    blocks = cut_suspects(nodes, blocks)
     for b in blocks:
         b.node.chars += len(b.text)
         b.node.links += b.links
@@ -242,7 +318,7 @@ def main_blocks(page: str) -> list[str]:
     for b in blocks:
         if b.node.tag not in PARAGRAPHS and b.node.tag != "li" and b.node.parent is not None:
             continue
-        points = (1 + b.text.count(",") + min(len(b.text) / 100, 3)) * (1 - b.links / max(1, len(b.text)))
+        points = b.points()
         at = b.node.parent if b.node.tag in ("p", "pre", "td", "blockquote", "dd", "li") and b.node.parent else b.node
         for share in (1, 1 / 2, 1 / 3):
             if at is None:
