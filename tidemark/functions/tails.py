@@ -26,8 +26,8 @@ def erfc(z: Column) -> Column:
 
 
 def chi_square_p(x: Column, freedom: int) -> Column:
-    """P(X >= x): closed for even degrees, by the recurrence from one degree for odd ones."""
-    x = F.greatest(x.cast("double"), F.lit(0.0))
+    """P(X >= x), of null null: closed for even degrees, by the recurrence from one degree for odd ones."""
+    none, x = x.isNull(), F.greatest(x.cast("double"), F.lit(0.0))
     if freedom % 2:
         p, term, k = erfc(F.sqrt(x / 2)), F.sqrt(2 * x / math.pi) * F.exp(-x / 2), 1
     else:
@@ -36,7 +36,7 @@ def chi_square_p(x: Column, freedom: int) -> Column:
         p = p + term
         k += 2
         term = term * x / k
-    return F.least(p, F.lit(1.0))
+    return F.when(~none, F.least(p, F.lit(1.0)))
 
 
 def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:

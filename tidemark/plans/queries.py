@@ -476,6 +476,21 @@ def hle_paths(spark, sf_dir):
     return _paths(spark, sf_dir)[1].listing().select(_joined("path").alias("path"), F.array_join(F.sort_array("cases").cast("array<string>"), ",").alias("cases"))
 
 
+_PAIRS = """SELECT array_to_string(path, '>') AS path, cases FROM ended UNION ALL
+ SELECT w.path[len(w.path) - 1] || '>' || w.last, list_intersect(a.cases, b.cases) FROM walk w JOIN sets a ON a.hle_id = w.path[len(w.path) - 1] JOIN sets b ON b.hle_id = w.last WHERE len(w.path) > 1"""
+
+
+@query("hle_paths_and_arcs", sql.query(f"SELECT path, {_CASES} FROM ({_PAIRS})", "ended", "walk", "sets"))
+def hle_paths_and_arcs(spark, sf_dir):
+    """Not maximal paths alone: each arc by which a path grew too, as often as it did."""
+    return _paths(spark, sf_dir, only_maximal=False)[1].listing().select(_joined("path").alias("path"), F.array_join(F.sort_array("cases").cast("array<string>"), ",").alias("cases"))
+
+
+@query("pruned_arcs", sql.query("SELECT * FROM arcs WHERE overlap >= 0.4", "arcs"))
+def pruned_arcs(spark, sf_dir):
+    return paths.prune_arcs(_overlaps(spark, sf_dir)[2], 0.4)
+
+
 def _hla(spark: SparkSession, sf_dir: str) -> participation.Activities:
     found, all_paths = _paths(spark, sf_dir)
     return participation.activities_of(all_paths, found)
