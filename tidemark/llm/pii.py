@@ -7,9 +7,10 @@ by skip edges, however far apart: each to a node that stands for their common ke
 edges whatever the number of mentions. Loopy sum-product runs until messages settle; a candidate that ends up as
 personal data with high probability adds a span.
 
-Weights are trained piecewise in a bounded sample, from counts that are summed on the executors: of pattern matches,
+Weights are trained piecewise over all rows, from counts that are summed on the executors: of pattern matches,
 of variants made of them (without + or country code, digits alone, in other case or domain), which carry their label, and of
-the other candidates. Nodes are a weighted softmax regression; a skip potential is how often tied candidates agree.
+the other candidates. An address of a machine has one form, so only its pattern labels it: what has its shape and fails is no candidate for
+any label. Nodes are a weighted softmax regression; a skip potential is how often tied candidates agree.
 
 Defined results: null text is empty; empty text has no spans; an empty table gives an empty result; whole
 texts are searched, of any length; repeated rows are searched each; other columns are not looked at.
@@ -26,11 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents, learn, map_texts, sample_texts, span_text
+from .common import documents, map_texts, span_text, text_groups
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
+#: What only its pattern finds.
+ADDRESSED = KINDS.index("ip")
 #: Local part and domain are matched apart, from the @ outwards, so that long runs without one cost nothing.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,14 +46,15 @@ DIGIT = re.compile(r"[0-9]")
 NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
 #: It begins where a run does, so that a long run without @ is looked at once.
 ADDRESS = re.compile(r"(?<![^\s@])[^\s@]+@[^\s@]+")
-SAMPLE_TEXTS = 3000
+SHAPE = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 #: Messages are settled when none changes by more; rounds grow with the graph.
 TOLERANCE, ROUNDS, LEAST_PROBABILITY = 1e-4, 100, 0.9
 #: What ties candidates: equal digits or addresses, the last digits, the local part.
 TIES = ("same", "digits", "local")
 LAST_DIGITS, LEAST_LOCAL = 7, 4
-#: A variant's shape alone is personal data with this chance, and no more; counts of agreement before any was made.
-VARIANT_WEIGHT, PRIOR = 0.5, 1.0
+#: A variant's shape alone is personal data with this chance, and no more; counts of agreement before any was made, and
+#: the share of all counts that is added on either side, so that a tie says as much in a large table as in a small one.
+VARIANT_WEIGHT, PRIOR, SMOOTH = 0.5, 1.0, 1e-3
 
 
 def luhn(digits: str) -> bool:
@@ -96,14 +101,23 @@ class Candidates:
     keys: list[list[tuple[int, str]]]  # (number of the tie, key)
 
 
+def fails(s: str) -> bool:
+    """Whether this has the shape of a machine's address, of parts of three digits at most, and is none."""
+    return bool(SHAPE.fullmatch(s)) and max(map(len, s.split("."))) <= 3 and not is_address(s)
+
+
+def is_address(s: str) -> bool:
+    return bool(SHAPE.fullmatch(s)) and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
+
+
 def keys_of(s: str) -> list[tuple[int, str]]:
     if "@" in s:
         local = s.lower().partition("@")[0]
         return [(0, s.lower())] + [(2, local)] * (len(local) >= LEAST_LOCAL)
     digits = "".join([c for c in s if "0" <= c <= "9"])
-    if s.count(".") == 3:
+    if is_address(s):
         return [(0, s)]
-    return [(0, digits)] + [(1, digits[-LAST_DIGITS:])] * (len(digits) > LAST_DIGITS)
+    return [(0, digits)] + [(1, digits[-LAST_DIGITS:])] * (len(digits) >= LAST_DIGITS)
 
 
 def variants(s: str, label: int) -> list[str]:
@@ -199,7 +213,7 @@ class SkipChain:
             return []
         p = self.marginals([text[a:b] for a, b in c.spans], c)
         best = p.argmax(axis=1)
-        return [(a, int(k), b) for (a, b), known, k, x in zip(c.spans, c.known, best, p, strict=True) if not known and k != OTHER and x[k] >= LEAST_PROBABILITY]
+        return [(a, int(k), b) for (a, b), known, k, x in zip(c.spans, c.known, best, p, strict=True) if not known and k != OTHER and k != ADDRESSED and x[k] >= LEAST_PROBABILITY and not fails(text[a:b])]
 
 
 def tally(texts: list[str]) -> Counter:
@@ -247,6 +261,7 @@ def fit_counts(found: Counter, steps: int = 300, rate: float = 0.5, ridge: float
             pairs[k[1], k[2]] += n
         elif k[0] == "tie":
             agree[k[1], k[2]] += n
+    agree += SMOOTH * agree.sum(axis=1, keepdims=True)
     pairs /= pairs.sum()
     chain = np.log(pairs) - np.log(pairs.sum(axis=1))[:, None] - np.log(pairs.sum(axis=0))[None, :]
     same = agree[:, 1] / agree.sum(axis=1)
@@ -255,11 +270,19 @@ def fit_counts(found: Counter, steps: int = 300, rate: float = 0.5, ridge: float
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SkipChain:
-    """From a bounded sample of a table: counts alone come to the driver, at most one for each of the features' combinations."""
-    sample = sample_texts(docs, doc_id, text, SAMPLE_TEXTS)
-    rows = learn(sample, "key string, n double", lambda texts: [(json.dumps(k), float(n)) for k, n in tally(texts).items()])
+    """From all rows of a table: sums of counts alone come to the driver, at most one for each of the features' combinations."""
+
+    def run(batches):
+        found: Counter = Counter()
+        for batch in batches:
+            for part in text_groups(batch):
+                found.update(tally([t or "" for t in part.column(1).to_pylist()]))
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(k) for k in found], pa.string()), pa.array([float(n) for n in found.values()], pa.float64())], ["key", "n"])
+
+    # numbers are multiples of a half, whose sums are exact in any order
+    rows = docs.select(F.lit(0), text).mapInArrow(run, "key string, n double").groupBy("key").agg(F.sum("n").alias("n")).collect()
     found: Counter = Counter()
-    for key, n in rows:
+    for key, n in sorted(rows):
         kind, a, b = json.loads(key)
         found[kind, tuple(a) if isinstance(a, list) else a, b] += n
     return fit_counts(found)
