@@ -248,6 +248,9 @@ def test_state_of_earlier_calls_is_kept(spark, tmp_path):
     assert sum(r.kept for r in got) == 10 and {r.group_size for r in got} == {2}
     got = exact_dedup.find(second, state_dir=f"{tmp_path}/state", earlier=first).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(i, i, 3, True) for i in range(20, 25)]
+    # the same call again, as after a crash, counts nothing twice
+    again = exact_dedup.find(second, state_dir=f"{tmp_path}/state", earlier=first).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     got = exact_dedup.find(rows([3, 77]), state_dir=f"{tmp_path}/state").collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(3, 23, 4, False), (77, 77, 3, True)]
 
@@ -457,6 +460,28 @@ def test_skip_chain_labels_repeated_and_similar_values():
     assert found(many) == [("974 555 3436", "phone")] * 40
 
 
+def test_what_fails_as_an_address_is_never_added_and_dotted_cards_are_tied():
+    made = [f"Call +1 (974) 555-{i:04d} or write to person.{i}@mail.example now, from 10.0.0.{i % 250}, card 4111 1111 1111 1111; serial {i * 7919 + 10**9}" for i in range(200)]
+    field = pii.train(made)
+    found = lambda t: [(t[a:b], pii.KINDS[k]) for a, k, b in field.spans(t, pii.base_spans(t))]
+    for bad in ("10.0.0.300", "999.1.2.3", "256.256.256.256"):
+        assert found(f"from 10.0.0.1 and {bad} and 10.0.0.2") == [] and not pii.is_address(bad) and pii.fails(bad)
+    card = "4111.1111.1111.1111"
+    assert set(pii.keys_of(card)) == set(pii.keys_of("4111 1111 1111 1111")) and not pii.fails(card)
+    assert found(f"card 4111 1111 1111 1111 and {'word ' * 50} {card}") == [(card, "card")]
+    assert set(pii.keys_of("555-0134")) & set(pii.keys_of("+14155550134"))
+
+
+def test_pii_counts_of_all_rows(spark):
+    """The field fitted on a table is that of all its texts, whatever their partitions."""
+    made = [f"Call +1 (974) 555-{i:04d} or 974 555 {i:04d}, person.{i}@mail.example; serial {i * 7919 + 10**9}" for i in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    want = pii.train([t or "" for t in made])
+    for rows in (df, df.repartition(7)):
+        got = pii.fit(rows)
+        assert np.allclose(got.node, want.node) and np.allclose(got.chain, want.chain) and np.allclose(got.skip, want.skip)
+
+
 def test_marginals_equal_brute_force():
     """On trees (one tie, no chain) sum-product is exact: against all assignments of labels."""
     import itertools

@@ -7,7 +7,9 @@ texts are fetched by their locators, and of each group the smallest and the larg
 
 Given a ``state_dir`` in the shared folder, fingerprints and state stay there, and later calls add to the state
 of earlier ones: keep_id and group_size are then over all calls so far, rows are those of this call. Hits on rows
-of earlier calls are checked on full bytes where these are passed again as ``earlier``, else by SHA-256 alone.
+of earlier calls are checked on full bytes where these are passed again as ``earlier``, else by SHA-256 alone. A call's rows are
+written under the sum of their hashes: the same call again, as after a crash of the driver, counts its rows once if they come
+straight from files, whose locators last.
 
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays,
 null being smallest, and of rows that repeat it the one with the largest locator, so one row of a group
@@ -50,8 +52,8 @@ def fingerprints(docs: DataFrame, digest: Callable[[Column], Column] = sha256, d
     return docs.select(F.col(doc_id).alias("doc_id"), digest(normal_text(F.col(text))).alias("digest"), locator(docs).alias("locator"))
 
 
-def run_state(spark: SparkSession, base: str, prints: DataFrame, label: str = "prints") -> DataFrame:
-    """Streams the fingerprints under ``base``/``label`` into keyed state; returns digest, keeper (doc_id, locator), group_size.
+def run_state(spark: SparkSession, base: str, prints: DataFrame, label: str = "prints", each: str = "") -> DataFrame:
+    """Streams the fingerprints under ``base``/``label`` (and ``each``, a pattern of folders in it) into keyed state; returns digest, keeper (doc_id, locator), group_size.
 
     The state is the streaming query's own: RocksDB on the executors' disks, with change files in
     its checkpoint in the shared folder. Each batch writes the keys that it changed; as counts and
@@ -64,7 +66,7 @@ def run_state(spark: SparkSession, base: str, prints: DataFrame, label: str = "p
         state = (
             spark.readStream.schema(prints.schema)
             .option("maxBytesPerTrigger", BATCH_BYTES)
-            .parquet(f"{base}/{label}")
+            .parquet(f"{base}/{label}{each}")
             .groupBy("digest")
             .agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count("*").alias("group_size"))
         )
@@ -101,8 +103,10 @@ def find(docs: DataFrame, digest: Callable[[Column], Column] = sha256, doc_id: s
     docs = located(docs)
     prints = stage.table(fingerprints(docs, digest, doc_id, text), "prints")
     if state_dir:
-        prints.write.mode("append").parquet(f"{state_dir}/prints")
-    out = _joined(stage, prints, run_state(spark, state_dir or stage.base, prints), "joined")
+        call = f"{state_dir}/prints/call-{_call_id(prints)}"
+        if not _exists(spark, f"{call}/_SUCCESS"):
+            prints.write.mode("overwrite").parquet(call)
+    out = _joined(stage, prints, run_state(spark, state_dir or stage.base, prints, each="/call-*" if state_dir else ""), "joined")
     slim = lambda df: df.select(locator(df).alias("locator"), F.col(text).alias("text"))
     texts = slim(docs) if earlier is None else slim(docs).unionByName(slim(earlier))
     hits = out.filter("group_size > 1")
@@ -121,6 +125,13 @@ def find(docs: DataFrame, digest: Callable[[Column], Column] = sha256, doc_id: s
     return out.select("doc_id", "locator", F.substring("digest", 1, 64).alias("digest"), F.col("keeper.doc_id").alias("keep_id"), "group_size", same.alias("kept"))
 
 
+def _call_id(prints: DataFrame) -> str:
+    """The rows' number and the sum of their hashes: the same for the same rows in any order."""
+    h = F.xxhash64("doc_id", "digest", "locator").cast("decimal(20,0)")
+    n, total = prints.agg(F.count("*"), F.sum(h)).first()
+    return f"{n}-{total or 0}"
+
+
 def _joined(stage: Staging, prints: DataFrame, groups: DataFrame, label: str) -> DataFrame:
     """Each fingerprint with its group."""
     groups = stage.table(groups, f"{label}-groups")
