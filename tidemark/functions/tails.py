@@ -26,8 +26,10 @@ def erfc(z: Column) -> Column:
 
 
 def chi_square_p(x: Column, freedom: int) -> Column:
-    """P(X >= x), of null null: closed for even degrees, by the recurrence from one degree for odd ones."""
-    none, x = x.isNull(), F.greatest(x.cast("double"), F.lit(0.0))
+    """P(X >= x) of x >= 0, of null null: closed for even degrees, by the recurrence from one degree for odd ones."""
+    if freedom == 2:
+        return F.exp(-x / 2)
+    x = x.cast("double")
     if freedom % 2:
         p, term, k = erfc(F.sqrt(x / 2)), F.sqrt(2 * x / math.pi) * F.exp(-x / 2), 1
     else:
@@ -36,7 +38,12 @@ def chi_square_p(x: Column, freedom: int) -> Column:
         p = p + term
         k += 2
         term = term * x / k
-    return F.when(~none, F.least(p, F.lit(1.0)))
+    return F.when(x.isNotNull(), F.least(p, F.lit(1.0)))
+
+
+def _let(values: dict[str, Column], body) -> Column:
+    """``body`` of a struct of values, each of which is computed once a row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
 
 
 def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -44,29 +51,43 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
 
     Likelihoods are relative to the most likely table's, from which they are followed outwards by their ratios.
     """
+    one, zero = F.lit(1.0), F.lit(0.0)
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))
-    r, s, n = a + b, c + d, a + c
-    low, high = F.greatest(F.lit(0.0), n - s), F.least(r, n)
-    mode = F.greatest(low, F.least(high, F.floor((r + 1) * (n + 1) / (r + s + 2)).cast("double")))
-    variance = n * r * s * (r + s - n) / F.nullif((r + s) * (r + s) * F.greatest(r + s - 1, F.lit(1.0)), F.lit(0.0))
-    most = F.ceil(DEVIATIONS * F.sqrt(F.coalesce(variance, F.lit(0.0)))) + TERMS
-    rise = lambda x: (r - x) * (n - x) / ((x + 1) * (s - n + x + 1))  # noqa: E731  from x to x + 1
-    fall = lambda x: x * (s - n + x) / ((r - x + 1) * (n - x + 1))  # noqa: E731  from x to x - 1
-    one = F.lit(1.0)
-    above = F.aggregate(_upto(F.least(a - mode, most)), one, lambda w, k: w * rise(mode + k - 1))
-    below = F.aggregate(_upto(F.least(mode - a, most)), one, lambda w, k: w * fall(mode - k + 1))
-    here = F.when(F.abs(a - mode) > most, F.lit(0.0)).when(a >= mode, above).otherwise(below) * (1 + 1e-7)
-
-    def side(steps: Column, ratio) -> Column:
-        zero = F.lit(0.0)
-        start = F.struct(one.alias("w"), zero.alias("all"), zero.alias("hit"))
 
-        def add(acc: Column, k: Column) -> Column:
-            w = acc["w"] * ratio(k)
-            return F.struct(w.alias("w"), (acc["all"] + w).alias("all"), (acc["hit"] + F.when(w <= here, w).otherwise(0.0)).alias("hit"))
+    def rise(v: Column, x: Column) -> Column:
+        """From x to x + 1."""
+        return (v["r"] - x) * (v["n"] - x) / ((x + 1) * (v["s"] - v["n"] + x + 1))
 
-        return F.aggregate(_upto(F.least(steps, most)), start, add)
+    def fall(v: Column, x: Column) -> Column:
+        """From x to x - 1."""
+        return x * (v["s"] - v["n"] + x) / ((v["r"] - x + 1) * (v["n"] - x + 1))
 
-    up, down = side(high - mode, lambda k: rise(mode + k - 1)), side(mode - low, lambda k: fall(mode - k + 1))
-    hit = up["hit"] + down["hit"] + F.when(here >= 1, 1.0).otherwise(0.0)
-    return F.least(one, hit / (up["all"] + down["all"] + 1))
+    def side(v: Column, here: Column, steps: Column, ratio) -> Column:
+        start = F.struct(one.alias("w"), zero.alias("all"), zero.alias("hit"))
+
+        def add(acc: Column, k: Column) -> Column:
+            grown = lambda w: F.struct(w["w"].alias("w"), (acc["all"] + w["w"]).alias("all"), (acc["hit"] + F.when(w["w"] <= here, w["w"]).otherwise(zero)).alias("hit"))
+            return _let({"w": acc["w"] * ratio(k)}, grown)
+
+        return F.aggregate(_upto(F.least(steps, v["most"])), start, add)
+
+    def total(v: Column, here: Column) -> Column:
+        sides = {"up": side(v, here, v["high"] - v["mode"], lambda k: rise(v, v["mode"] + k - 1)), "down": side(v, here, v["mode"] - v["low"], lambda k: fall(v, v["mode"] - k + 1))}
+        share = lambda x: (x["up"]["hit"] + x["down"]["hit"] + F.when(here >= 1, one).otherwise(zero)) / (x["up"]["all"] + x["down"]["all"] + 1)
+        return F.least(one, _let(sides, share))
+
+    def placed(v: Column) -> Column:
+        above = F.aggregate(_upto(F.least(v["a"] - v["mode"], v["most"])), one, lambda w, k: w * rise(v, v["mode"] + k - 1))
+        below = F.aggregate(_upto(F.least(v["mode"] - v["a"], v["most"])), one, lambda w, k: w * fall(v, v["mode"] - k + 1))
+        here = F.when(F.abs(v["a"] - v["mode"]) > v["most"], zero).when(v["a"] >= v["mode"], above).otherwise(below) * (1 + 1e-7)
+        return _let({"here": here}, lambda x: total(v, x["here"]))
+
+    def centred(m: Column) -> Column:
+        low, high = F.greatest(zero, m["n"] - m["s"]), F.least(m["r"], m["n"])
+        mode = F.greatest(low, F.least(high, F.floor((m["r"] + 1) * (m["n"] + 1) / (m["r"] + m["s"] + 2)).cast("double")))
+        both = m["r"] + m["s"]
+        variance = m["n"] * m["r"] * m["s"] * (both - m["n"]) / F.nullif(both * both * F.greatest(both - 1, one), zero)
+        most = F.ceil(DEVIATIONS * F.sqrt(F.coalesce(variance, zero))) + TERMS
+        return _let({"a": m["a"], "r": m["r"], "s": m["s"], "n": m["n"], "low": low, "high": high, "mode": mode, "most": most.cast("double")}, placed)
+
+    return _let({"a": a, "r": a + b, "s": c + d, "n": a + c}, centred)
