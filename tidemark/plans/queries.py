@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.sets import contains_run, jaccard
 from tidemark.functions.units import unit_number
 from tidemark.operators import casebits, cascade, detect, features, forest, hl_log, link, overlap, participation, paths, stats, steps, windows
-from tidemark.sources import logs
+from tidemark.sources import attributes, document, logs, xes
 from tidemark.storage import Staging
 
 from . import sql
@@ -79,6 +79,31 @@ def event_table_no_resource(spark, sf_dir):
     return logs.event_table(_log(spark, sf_dir), with_resource=False)
 
 
+def _document(spark: SparkSession, sf_dir: str) -> str:
+    """The log as one XES document in the shared folder; resources and values also three levels deep."""
+    log = _log(spark, sf_dir)
+    nested = F.struct(F.struct(F.col("res").alias("name"), F.array("value").alias("values")).alias("by"))
+    path = Staging(spark, "document").path("log.xes")
+    document.write_document(log.withColumn("nested", nested), path, {"nested": "made"})
+    return path
+
+
+@query("xes_document", sql.query("SELECT case_id, pos, act, res, us FROM log", "log"))
+def xes_document(spark, sf_dir):
+    """The log, read again from its document."""
+    return xes.read_xes(spark, _document(spark, sf_dir)).select(F.col("case_name").cast("long").alias("case_id"), "pos", "act", "res", "us")
+
+
+@query("xes_attributes", sql.query("SELECT l.case_id, l.pos, l.res AS name, l.value FROM log l", "log"))
+def xes_attributes(spark, sf_dir):
+    """Attributes three levels deep, by event, with the names of their traces: all are rows of one read."""
+    rows = attributes.read_attributes(spark, _document(spark, sf_dir))
+    at = lambda *keys: F.max(F.when(F.col("keys") == F.array(*[F.lit(k) for k in keys]), F.col("value")))
+    wanted = rows.filter("kind is not null and (pos is null or get(keys, 0) = 'made')").groupBy("trace", "pos").agg(at("concept:name").alias("case"), at("made", "by", "name").alias("name"), at("made", "by", "values", "item").cast("double").alias("value"))
+    cases = wanted.filter("pos is null").select("trace", F.col("case").cast("long").alias("case_id"))
+    return wanted.filter("pos is not null").join(cases, "trace").select("case_id", "pos", "name", "value")
+
+
 @query("steps_total_order", sql.query(f"SELECT {STEP} FROM steps", "steps"))
 def steps_total_order(spark, sf_dir):
     return steps.total_order(_log(spark, sf_dir)).select(STEP.split(", "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .attributes import globals_of
+
 _ATTRIBUTE = "array<struct<_key:string,_value:string>>"
 _KINDS = ("string", "date", "int", "float", "boolean")
 _CHILDREN = ",".join(f"{k}:{_ATTRIBUTE}" for k in _KINDS)
@@ -22,25 +24,34 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "trace").schema(SCHEMA).load(path).withColumn("trace", F.monotonically_increasing_id())
 
 
-def read_xes(spark: SparkSession, path: str, trace_attributes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+def read_xes(spark: SparkSession, path: str, trace_attributes: dict[str, tuple[str, str]] | None = None, defaults: bool = False) -> DataFrame:
     """A log: case_id is the trace's number in the order of the file (gapped), as traces may share a name or have none;
     case_name is its concept:name. ``pos`` counts all of the trace's events; those without an activity or a readable
     time are left out.
 
-    ``trace_attributes`` names further columns by (type, key), such as {"amount": ("float", "RequestedAmount")}.
+    ``trace_attributes`` names further columns by (type, key), such as {"amount": ("float", "RequestedAmount")}. With
+    ``defaults``, attributes that a trace or event lacks have the value that the log's globals declare. Nested attributes
+    are read by attributes.read_attributes().
     """
-    extra = {n: attribute(None, k, key) for n, (k, key) in (trace_attributes or {}).items()}
+    declared = globals_of(spark, path) if defaults else {}
+    known = {(scope, kind, keys[0]): value for scope, found in declared.items() for _, keys, kind, value, _ in found if len(keys) == 1}
+
+    def of(owner: str | None, kind: str, key: str) -> Column:
+        value = known.get(("event" if owner else "trace", kind, key))
+        return attribute(owner, kind, key) if value is None else F.coalesce(attribute(owner, kind, key), F.lit(value))
+
+    extra = {n: of(None, k, key) for n, (k, key) in (trace_attributes or {}).items()}
     traces = read_traces(spark, path)
     # attributes of the trace are read before its events are: an explode in the same step would number events
-    traces = traces.withColumn("case_name", attribute(None, "string", "concept:name")).withColumns(extra)
+    traces = traces.withColumn("case_name", of(None, "string", "concept:name")).withColumns(extra)
     events = traces.select("case_name", F.col("trace").alias("case_id"), *extra, F.posexplode("event").alias("pos", "e"))
     return events.select(
         "case_id",
         F.col("pos").cast("long").alias("pos"),
-        attribute("e", "string", "concept:name").alias("act"),
-        attribute("e", "string", "org:resource").alias("res"),
-        F.unix_micros(F.try_to_timestamp(attribute("e", "date", "time:timestamp"))).alias("us"),
-        attribute("e", "string", "lifecycle:transition").alias("lifecycle"),
+        of("e", "string", "concept:name").alias("act"),
+        of("e", "string", "org:resource").alias("res"),
+        F.unix_micros(F.try_to_timestamp(of("e", "date", "time:timestamp"))).alias("us"),
+        of("e", "string", "lifecycle:transition").alias("lifecycle"),
         "case_name",
         *extra,
     ).filter("act is not null and us is not null")
