@@ -124,6 +124,26 @@ def test_planted_secrets_are_found_and_ordinary_tokens_left(texts):
     assert sum(len(d.spans(t, secrets.base_spans(t))) for t in clean) <= 2
 
 
+#: Ordinary names with digits, none put together as the generator does.
+ORDINARY = (
+    "2024-01-15T10 IMG-20240115-WA0003 LH1234-20240115 arXiv/2101 qwerty123456 NX-OS-9000-v10 MK-ULTRA-1953-project 1705312200123 Screenshot_2024-01-15 "
+    "linux-image-6 x86_64-linux-gnu ISO-8859-1 TICKET-12345 PO-2024-000123 INV-20231102-0007 B2B-Q3-2024 bert-base-uncased H2O2-NaCl-2021 ThinkPad-X1-G9 "
+    "RTX4090-24GB SM-G991B-128 0800-123-4567 user_20191231 v2-0-0-beta1 M1A2-Abrams Boeing-747-400 internationalization src/main/java/com/example/App "
+    "getElementsByClassName MAX_RETRY_COUNT_2 TLS_AES_128_GCM_SHA256 EN-ISO-9001-2015 2001-A-Space-Odyssey"
+)
+
+
+def test_ordinary_names_with_digits_are_left_and_letters_alone_found(texts):
+    d = secrets.train(secrets.labelled_samples(list(texts.values())[::2]))
+    assert [ORDINARY[a:b] for a, _, b in d.spans(ORDINARY, secrets.base_spans(ORDINARY))] == []
+    rng = random.Random(31)
+    for alphabet, share in ((string.ascii_letters, 0.9), (string.ascii_lowercase, 0.9), (string.ascii_uppercase, 0.8)):  # 280 of 300 in lower case, after training on this small table
+        assert sum(d.is_random("".join(rng.choices(alphabet, k=20))) for _ in range(300)) >= share * 300, alphabet
+    assert d.is_random("kqzjxwvbtrplmnhgfds")
+    uuids = ["-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)) for _ in range(100)]
+    assert sum(map(d.is_random, uuids)) >= 95
+
+
 def test_secret_models_count_every_row_of_a_table(spark, texts):
     """Also rows that share an id or have none, by any partitioning; more rows than any sample of 2,000 has."""
     rows = [(i % 2700 or None, t) for i, t in enumerate((list(texts.values()) * 15)[:2800])]

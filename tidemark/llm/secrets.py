@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order character models are trained from labelled strings: values that patterns or a seeded
-generator give as random strings, and the other tokens of all texts as ordinary identifiers. What of a
-run of key characters no pattern has matched is a secret if it has 10 characters or more, a letter and a digit, and the
-log-likelihood ratio of the two models is high, in all and by character. For the least ratio each string is judged by a
-model of the other folds' counts, folds being dealt by the CRC-32 of the string: no ordinary string of the generator
-may exceed it, and at most one in 10,000 of the table, as those hold secrets that no pattern knows.
+generator give as random strings, and the other tokens of all texts, with a generator's names, dates, times, serial and
+product names and numbers, as ordinary identifiers. What of a run of key characters no pattern has matched is a secret if
+it has 10 characters or more and the log-likelihood ratio of the two models is high, in all and by character; no other
+rule decides, so strings of letters alone are found too. For the least ratio each string is judged by a model of the other
+folds' counts, folds being dealt by the CRC-32 of the string: at most one in 1,000 of the generator's ordinary strings may
+exceed it, and one in 10,000 of the table's, as those hold secrets that no pattern knows. UUIDs are reported: models of
+pairs of characters cannot tell them from keys. Long numbers are ordinary.
 
 Every row is counted, on the executors, in whole numbers, so any partitioning gives the same models; texts don't come
 to the driver. Defined results: null text is empty; empty text has no spans; an empty table gives an empty result; whole
@@ -21,8 +23,9 @@ import re
 import string
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +44,16 @@ LEAST_LENGTH = 10
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 #: Least ratio of a run in nats, and by character.
-LEAST_RATIO, LEAST_BY_CHARACTER = 12.0, 0.5
+LEAST_RATIO, LEAST_BY_CHARACTER = 12.0, 1.0
 #: Strings of each class from the generator, and the folds that strings are dealt into.
 RANDOM_STRINGS, FOLDS = 3000, 4
 #: A table's counts, ordinary and random, weigh at most so many times the generator's: else what a large table lacks
 #: would become ever less likely, and the least ratio and the misses grow with its size.
 TABLE_WEIGHT = (50.0, 0.1)
-#: Share of a table's ordinary strings that may exceed the least ratio, which is a multiple of 1 / STEPS nats.
-ALLOWED, STEPS = 1e-4, 2
+#: Shares of a table's and of the generator's ordinary strings that may exceed the least ratio, a multiple of 1 / STEPS nats.
+ALLOWED, MADE_ALLOWED, STEPS = 1e-4, 1e-3, 2
+#: Strings whose scores a task keeps, as texts repeat them.
+KEPT_SCORES = 1 << 16
 #: Of these words the ordinary identifiers are put together that texts may lack.
 VOCABULARY = (
     "get set is has this an ordinary identifier name user account settings page index value total count list path size handler config default "
@@ -118,18 +123,16 @@ class Detector:
     def ratio(self, s: str) -> float:
         return self.random_strings.score(s) - self.identifiers.score(s)
 
-    def may_be_random(self, s: str) -> bool:
-        return len(s) >= LEAST_LENGTH and any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-
     def is_random(self, s: str) -> bool:
-        if not self.may_be_random(s):
+        if len(s) < LEAST_LENGTH:
             return False
         r = self.ratio(s)
         return r > self.least and r >= LEAST_BY_CHARACTER * len(s)
 
-    def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    def spans(self, text: str, base: list[tuple[int, int, int]], judge: Callable[[str], bool] | None = None) -> list[tuple[int, int, int]]:
         """Random strings: runs, or what base spans leave of them. Both are in order, so one pass compares them."""
         found, taken, at, end = [], sorted(base), 0, 0
+        judge = judge or self.is_random
         for m in RUN.finditer(text):
             start = max(m.start(), end)
             parts = []
@@ -139,20 +142,54 @@ class Detector:
                 start = max(start, end)
                 at += 1
             parts.append((start, m.end()))
-            found += [(a, 3, b) for a, b in parts if b - a >= LEAST_LENGTH and self.is_random(text[a:b])]
+            found += [(a, 3, b) for a, b in parts if b - a >= LEAST_LENGTH and judge(text[a:b])]
         return found
 
 
+def _named(rng: random.Random) -> str:
+    """Common words in one of the usual styles, some with a number behind."""
+    parts = rng.choices(VOCABULARY.split(), k=rng.randint(2, 5))
+    style = rng.choice(("_", "-", "/", "camel", "upper"))
+    if style == "camel":
+        name = parts[0] + "".join(p.title() for p in parts[1:])
+    else:
+        name = "_".join(parts).upper() if style == "upper" else style.join(parts)
+    return name + rng.choice(("", "", "2", "10"))
+
+
+def _dated(rng: random.Random) -> str:
+    """A date or time as written in logs, files and addresses, alone or beside words and letters."""
+    y, m, d, h, n, s = rng.randint(1950, 2039), rng.randint(1, 12), rng.randint(1, 28), rng.randrange(24), rng.randrange(60), rng.randrange(60)
+    day = rng.choice((f"{y}-{m:02}-{d:02}", f"{y}{m:02}{d:02}", f"{y}/{m:02}/{d:02}", f"{y}_{m:02}_{d:02}"))
+    time = rng.choice(("", "", f"T{h:02}", f"T{h:02}{n:02}{s:02}Z", f"-{h:02}{n:02}", f"_{h:02}{n:02}{s:02}"))
+    before = rng.choice(("", "", _code(rng) + rng.choice("-_"), rng.choice(VOCABULARY.split()) + rng.choice("-_/")))
+    return before + day + time + rng.choice(("", "", "", "-" + _code(rng), "_" + rng.choice(VOCABULARY.split())))
+
+
+def _code(rng: random.Random) -> str:
+    """Letters of one case and a number, as in models, flights, standards and versions."""
+    letters = "".join(rng.choices(string.ascii_uppercase, k=rng.randint(1, 3)))
+    number = str(rng.randrange(10 ** rng.randint(1, 5)))
+    return rng.choice((letters + number, letters + "-" + number, letters, number, f"v{number}", rng.choice(VOCABULARY.split()) + number, rng.choice(VOCABULARY.split()).title() + "-" + number))
+
+
+def _numbered(rng: random.Random) -> str:
+    """Serial and product names: codes and words in a row; or a long number."""
+    if rng.random() < 0.15:
+        return str(rng.randrange(10 ** rng.randint(LEAST_LENGTH - 1, 16)))
+    word = lambda: rng.choice((str.lower, str.title, str.upper))(rng.choice(VOCABULARY.split()))
+    return rng.choice("-_/").join(rng.choice((_code, _code, lambda _: word()))(rng) for _ in range(rng.randint(2, 4)))
+
+
 def made_samples(seed: int = 7) -> list[tuple[str, int]]:
-    """(string, 1 if random) from a seeded generator: random strings of several alphabets, identifiers of common words."""
+    """(string, 1 if random) from a seeded generator: random strings of several alphabets, some without digits; names of
+    common words, dates and times, serial and product names, long numbers."""
     rng = random.Random(seed)
-    alphabets = ("0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits)
+    letters = string.ascii_letters
+    alphabets = ("0123456789abcdef", letters + string.digits, letters + string.digits + "+/", string.ascii_uppercase + string.digits, letters, string.ascii_lowercase, string.ascii_uppercase)
     out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(LEAST_LENGTH, 64))), 1) for _ in range(RANDOM_STRINGS)]
-    for _ in range(RANDOM_STRINGS):
-        parts = rng.choices(VOCABULARY.split(), k=rng.randint(2, 5))
-        style = rng.choice(("_", "-", "/", "camel"))
-        name = parts[0] + "".join(p.title() for p in parts[1:]) if style == "camel" else style.join(parts)
-        out.append((name + rng.choice(("", "", "2", "10")), 0))
+    for make in (_named, _dated, _numbered):
+        out += [(make(rng), 0) for _ in range(RANDOM_STRINGS)]
     return out
 
 
@@ -184,12 +221,13 @@ def by_fold(made: np.ndarray, found: np.ndarray) -> list[Detector]:
 def heights(samples: Iterable[tuple[str, int]], models: list[Detector]) -> Counter[int]:
     """How many ordinary strings there are by ratio, rounded up to steps; 0: what is never taken for random."""
     out, n = Counter(), 0
+    ratio = lru_cache(KEPT_SCORES)(lambda s: models[fold(s)].ratio(s))
     for s, y in samples:
         if y:
             continue
         n += 1
-        if len(s) >= LEAST_LENGTH and models[0].may_be_random(s):
-            r = models[fold(s)].ratio(s)
+        if len(s) >= LEAST_LENGTH:
+            r = ratio(s)
             if r > 0 and r >= LEAST_BY_CHARACTER * len(s):
                 out[math.ceil(r * STEPS)] += 1
     out[0] += n - out.total()
@@ -217,7 +255,7 @@ def learn(count, measure) -> Detector:
     made, found = counts(generated), count()
     models = by_fold(made, found)
     model = detector_of(weighed(made.sum(axis=0), found.sum(axis=0)))
-    model.least = max(least_ratio(heights(generated, models), 0.0), least_ratio(measure(models), ALLOWED))
+    model.least = max(least_ratio(heights(generated, models), MADE_ALLOWED), least_ratio(measure(models), ALLOWED))
     return model
 
 
@@ -253,9 +291,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", detector:
     model = detector or fit(docs, doc_id, text)
 
     def rows(texts: list[str]):
+        judge = lru_cache(KEPT_SCORES)(model.is_random)
         for t in texts:
             base = base_spans(t)
-            more = model.spans(t, base)
+            more = model.spans(t, base, judge)
             n = [0, 0, 0]
             for _, k, _ in base:
                 n[k] += 1
