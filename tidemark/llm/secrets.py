@@ -5,8 +5,8 @@ generator give as random strings, and the other tokens of all texts, with a gene
 product names and numbers, as ordinary identifiers. What of a run of key characters no pattern has matched is a secret if
 it has 10 characters or more and the log-likelihood ratio of the two models is high, in all and by character; no other
 rule decides, so strings of letters alone are found too. For the least ratio each string is judged by a model of the other
-folds' counts, folds being dealt by the CRC-32 of the string: at most one in 1,000 of the generator's ordinary strings may
-exceed it, and one in 10,000 of the table's, as those hold secrets that no pattern knows. UUIDs are reported: models of
+folds' counts, folds being dealt by the CRC-32 of the string: at most three in 10,000 of the generator's ordinary strings may
+exceed it, and one in 10,000 of the table's, as those hold secrets that no pattern knows. Most UUIDs are reported: models of
 pairs of characters cannot tell them from keys. Long numbers are ordinary.
 
 Every row is counted, on the executors, in whole numbers, so any partitioning gives the same models; texts don't come
@@ -44,14 +44,14 @@ LEAST_LENGTH = 10
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 #: Least ratio of a run in nats, and by character.
-LEAST_RATIO, LEAST_BY_CHARACTER = 12.0, 1.0
+LEAST_RATIO, LEAST_BY_CHARACTER = 12.0, 0.8
 #: Strings of each class from the generator, and the folds that strings are dealt into.
 RANDOM_STRINGS, FOLDS = 3000, 4
 #: A table's counts, ordinary and random, weigh at most so many times the generator's: else what a large table lacks
 #: would become ever less likely, and the least ratio and the misses grow with its size.
-TABLE_WEIGHT = (50.0, 0.1)
+TABLE_WEIGHT = (20.0, 0.1)
 #: Shares of a table's and of the generator's ordinary strings that may exceed the least ratio, a multiple of 1 / STEPS nats.
-ALLOWED, MADE_ALLOWED, STEPS = 1e-4, 1e-3, 2
+ALLOWED, MADE_ALLOWED, STEPS = 1e-4, 3e-4, 2
 #: Strings whose scores a task keeps, as texts repeat them.
 KEPT_SCORES = 1 << 16
 #: Of these words the ordinary identifiers are put together that texts may lack.
@@ -168,7 +168,7 @@ def _dated(rng: random.Random) -> str:
 
 def _code(rng: random.Random) -> str:
     """Letters of one case and a number, as in models, flights, standards and versions."""
-    letters = "".join(rng.choices(string.ascii_uppercase, k=rng.randint(1, 3)))
+    letters = "".join(rng.choices(string.ascii_uppercase, k=rng.randint(1, 2)))
     number = str(rng.randrange(10 ** rng.randint(1, 5)))
     return rng.choice((letters + number, letters + "-" + number, letters, number, f"v{number}", rng.choice(VOCABULARY.split()) + number, rng.choice(VOCABULARY.split()).title() + "-" + number))
 
