@@ -19,9 +19,25 @@ def attribute(owner: str | None, kind: str, key: str) -> Column:
     return F.get(F.filter(field, lambda a: a["_key"] == key), F.lit(0))["_value"]
 
 
+#: An empty trace, and where any other one starts.
+_EMPTY, _START = r"<trace(\s[^<>]*)?/>", r"<trace[\s>]"
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """One row a trace, numbered in the order of the file: trace, its attributes and events."""
-    return spark.read.format("xml").option("rowTag", "trace").schema(SCHEMA).load(path).withColumn("trace", F.monotonically_increasing_id())
+    """One row a trace that is not empty, numbered in the order of the file: trace, its attributes and events.
+
+    Files are dealt out in pieces that end with a trace, as in attributes.py, so a large document is many tasks' work; Spark's
+    XML parser reads each piece. A piece that is no XML is an error.
+    """
+    pieces = spark.read.text(path, lineSep="</trace>").select(F.monotonically_increasing_id().alias("trace"), F.col("value").alias("piece"))
+    bare = F.when(F.contains("piece", F.lit("<!--")), F.regexp_replace("piece", "(?s)<!--.*?-->", "")).otherwise(F.col("piece"))
+    full = F.when(bare.rlike(_EMPTY), F.regexp_replace(bare, _EMPTY, "")).otherwise(bare)
+    started = pieces.withColumn("piece", full).withColumn("at", F.regexp_instr("piece", F.lit(_START)))
+    # what is behind the last trace is null, and never parsed, in whatever order filters run
+    text = F.when(F.col("at") > 0, F.concat(F.expr("substring(piece, at)"), F.lit("</trace>")))
+    parsed = F.from_xml(text, SCHEMA, {"mode": "FAILFAST"})
+    # as rows of an array of one, a piece is parsed once, however many of its columns are asked for
+    return started.filter("at > 0").select("trace", F.inline(F.array(parsed)))
 
 
 def read_xes(spark: SparkSession, path: str, trace_attributes: dict[str, tuple[str, str]] | None = None, defaults: bool = False) -> DataFrame:
