@@ -2,8 +2,10 @@
 
 from conftest import SMALL
 
+from tidemark.llm import spelling
 from tidemark.plans import queries
 from tidemark.sources import document, xes
+from tidemark.storage import Staging
 
 
 def plan(df):
@@ -32,3 +34,7 @@ def test_comments_and_empty_traces_between_pieces(spark, tmp_path):
     (tmp_path / "log.xes").write_text(f'<log><!-- <trace> none --><traces/><trace/>\n<trace a="b">{event.format("x")}<!-- <trace> --></trace><trace />  <trace>\n{event.format("y")}{event.format("z")}</trace><trace/></log>')
     rows = xes.read_xes(spark, f"file://{tmp_path}/log.xes").orderBy("case_id", "pos").collect()
     assert [(r.act, r.pos) for r in rows] == [("x", 0), ("y", 0), ("z", 1)] and len({r.case_id for r in rows}) == 2
+
+
+def test_a_document_is_parsed_once(spark):
+    assert "MapInArrow" not in plan(queries.xes_attributes(spark, SMALL))

@@ -26,27 +26,31 @@ BATCH = 8_192
 Default = tuple[list[int], list[str], str, str | None, bool]
 
 
+#: Places in a row as the parser makes it: COLUMNS without the trace.
+_OWNER, _POS, _PLACE, _KEYS, _KIND, _VALUE, _LEAF = range(7)
+
+
 @dataclass
 class _Element:
     """An open element that owns attributes: the log, a scope of globals, a trace, an event, or an attribute."""
 
-    row: dict
+    row: list
     children: int = 0
     names: set[str] = field(default_factory=set)
 
 
-def rows_of(piece: str, defaults: dict[str, list[Default]]) -> list[dict]:
+def rows_of(piece: str, defaults: dict[str, list[Default]]) -> list[list]:
     """The attributes of a piece of a file, a row each, behind a row for each trace and event itself (without a kind).
 
     An element that holds nothing gives its row, but for an empty trace, which gives none. A missing attribute of a
     trace or event that has a default is put behind the others.
     """
-    rows: list[dict] = []
+    rows: list[list] = []
     opened: list[_Element] = []
     events = 0
 
     def own(owner: str, pos: int | None = None) -> _Element:
-        rows.append({"owner": owner, "pos": pos, "place": [], "keys": [], "kind": None, "value": None, "leaf": True})
+        rows.append([owner, pos, (), (), None, None, True])
         return _Element(rows[-1])
 
     def start(name: str, given: dict[str, str]) -> None:
@@ -61,13 +65,14 @@ def rows_of(piece: str, defaults: dict[str, list[Default]]) -> list[dict]:
             opened.append(own("event", events))
             events += 1
         elif not opened:
-            opened.append(_Element({"owner": "log", "pos": None, "place": [], "keys": []}))
+            opened.append(_Element(["log", None, (), (), None, None, True]))
         elif tag in KINDS:
             up, key = opened[-1], given.get("key", "")
-            row = {**up.row, "place": [*up.row["place"], up.children], "keys": [*up.row["keys"], key], "kind": tag, "value": given.get("value"), "leaf": True}
+            of = up.row
+            row = [of[_OWNER], of[_POS], (*of[_PLACE], up.children), (*of[_KEYS], key), tag, given.get("value"), True]
             up.children += 1
             up.names.add(key)
-            up.row["leaf"] = False
+            of[_LEAF] = False
             rows.append(row)
             opened.append(_Element(row))
         else:  # values of a list, extensions and classifiers: what they hold belongs to the element around
@@ -81,8 +86,8 @@ def rows_of(piece: str, defaults: dict[str, list[Default]]) -> list[dict]:
         elif tag in ("trace", "event"):
             for place, keys, kind, value, leaf in defaults.get(tag, ()):
                 if keys[0] not in closed.names:
-                    closed.row["leaf"] = False
-                    rows.append({**closed.row, "place": [closed.children + place[0], *place[1:]], "keys": keys, "kind": kind, "value": value, "leaf": leaf})
+                    closed.row[_LEAF] = False
+                    rows.append([*closed.row[: _POS + 1], (closed.children + place[0], *place[1:]), tuple(keys), kind, value, leaf])
 
     parser = expat.ParserCreate()
     parser.StartElementHandler, parser.EndElementHandler = start, end
@@ -94,21 +99,37 @@ def rows_of(piece: str, defaults: dict[str, list[Default]]) -> list[dict]:
     return rows
 
 
+def _repeated(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Lists of which few differ: each of these is made once."""
+    known: dict[tuple, int] = {}
+    at = [known.setdefault(v, len(known)) for v in values]
+    return pa.array(list(known), kind).take(pa.array(at, pa.int32()))
+
+
+def _batch(traces: list[int], rows: list[list]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    made = [_repeated(c, t.type) if i in (_PLACE, _KEYS) else pa.array(c, t.type) for i, (c, t) in enumerate(zip(columns, list(_ARROW)[1:], strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(traces, pa.int64()), *made], schema=_ARROW)
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="</trace>").select(F.monotonically_increasing_id().alias("trace"), "value")
 
 
 def _listed(pieces: DataFrame, defaults: dict[str, list[Default]]) -> DataFrame:
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[dict] = []
+        traces: list[int] = []
+        ready: list[list] = []
         for part in parts:
             for trace, piece in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                ready += [{"trace": trace, **r} for r in rows_of(piece.as_py(), defaults)]
+                found = rows_of(piece.as_py(), defaults)
+                traces += [trace] * len(found)
+                ready += found
                 if len(ready) >= BATCH:
-                    yield pa.RecordBatch.from_pylist(ready, _ARROW)
-                    ready = []
+                    yield _batch(traces, ready)
+                    traces, ready = [], []
         if ready:
-            yield pa.RecordBatch.from_pylist(ready, _ARROW)
+            yield _batch(traces, ready)
 
     return pieces.mapInArrow(batches, COLUMNS)
 

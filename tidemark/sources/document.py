@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.storage import Staging
+
 NAMESPACE = "http://www.xes-standard.org/"
 #: Behind all places of siblings.
 _LAST = 2**62
@@ -50,11 +52,15 @@ def _plain(text: str) -> str:
     return re.sub(_NONE, "", text).translate(str.maketrans(_MARKS))
 
 
+#: What makes a value be looked at again: most hold none of these.
+_ANY = "[&<>\"\\x00-\\x1F\\uFFFE\\uFFFF]"
+
+
 def escaped(value: Column) -> Column:
     out = F.regexp_replace(value, _NONE, "")
     for mark, code in _MARKS.items():
         out = F.replace(out, F.lit(mark), F.lit(code))
-    return out
+    return F.when(value.rlike(_ANY), out).otherwise(value)
 
 
 def _element(key: Column, value: Column, kind: T.DataType) -> Column:
@@ -70,16 +76,16 @@ def _element(key: Column, value: Column, kind: T.DataType) -> Column:
         inner = F.array_join(F.transform(value, lambda x: _element(F.lit("item"), x, kind.elementType)), "")
         made = F.concat(F.lit("<list"), named, F.lit("><values>"), inner, F.lit("</values></list>"))
     else:
-        tag, text = "string", value.cast("string")
+        tag, text = "string", escaped(value.cast("string"))
         if isinstance(kind, T.IntegralType):
-            tag = "int"
+            tag, text = "int", value.cast("string")
         elif isinstance(kind, (T.FractionalType, T.DecimalType)):
-            tag = "float"
+            tag, text = "float", value.cast("string")
         elif isinstance(kind, T.BooleanType):
-            tag = "boolean"
+            tag, text = "boolean", value.cast("string")
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             tag, text = "date", _time(value.cast("timestamp"))
-        made = F.concat(F.lit(f"<{tag}"), named, F.lit(' value="'), escaped(text), F.lit('"/>'))
+        made = F.concat(F.lit(f"<{tag}"), named, F.lit(' value="'), text, F.lit('"/>'))
     return F.coalesce(F.when(value.isNotNull(), made), F.lit(""))
 
 
@@ -140,11 +146,14 @@ def write_lines(lines: DataFrame, path: str, header: Header | None = None) -> No
     joins = files.hasPathCapability(where, _CONCAT)
     if not joins and files.getScheme() != "file":
         raise ValueError(f"{files.getScheme()} cannot concatenate files; write_xes() writes a folder")
+    stage = Staging(spark, "lines")
     try:
-        lines.sort("trace", "place").select("line").write.option("compression", "none").text(parts)
+        # ranges come from a sample of all lines: these are made once and read twice
+        stage.table(lines, "lines").sort("trace", "place").select("line").write.option("compression", "none").text(parts)
         _put_together(spark, files, parts, path, (header or Header()).text(), joins)
     finally:
         files.delete(where, True)
+        stage.drop()
 
 
 def _put_together(spark: SparkSession, files, parts: str, path: str, header: str, joins: bool) -> None:
