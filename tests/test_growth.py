@@ -38,3 +38,8 @@ def test_comments_and_empty_traces_between_pieces(spark, tmp_path):
 
 def test_a_document_is_parsed_once(spark):
     assert "MapInArrow" not in plan(queries.xes_attributes(spark, SMALL))
+
+
+def test_case_sets_read_the_staged_log(spark):
+    """Six features that each make the log anew would do so in one task, by windows."""
+    assert "Window" not in plan(queries.hle_case_sets(spark, SMALL))
