@@ -43,3 +43,20 @@ def test_a_document_is_parsed_once(spark):
 def test_case_sets_read_the_staged_log(spark):
     """Six features that each make the log anew would do so in one task, by windows."""
     assert "Window" not in plan(queries.hle_case_sets(spark, SMALL))
+
+
+def recorded(monkeypatch):
+    plans, table = [], Staging.table
+    monkeypatch.setattr(Staging, "table", lambda self, df, label: plans.append((label, plan(df))) or table(self, df, label))
+    return plans
+
+
+def test_rows_of_cases_are_never_broadcast(spark, monkeypatch):
+    """Their files are small beside their rows, so that Spark would."""
+    plans = recorded(monkeypatch)
+    table = queries.path_statistics(spark, SMALL)
+    found = {label: p for label, p in plans}
+    assert "BroadcastHashJoin [_often" not in found["ranges"] and "BroadcastHashJoin [case_id" not in found["ranges"]
+    assert not [p for label, p in plans if label == "arcs" and "BroadcastHashJoin [other" in p]
+    assert not [p for label, p in plans if label == "relevant" and "BroadcastHashJoin [case_id#" in p and "LeftSemi" in p.split("BroadcastHashJoin [case_id#")[1].split("\n")[0]]
+    assert table.count() > 0
