@@ -60,3 +60,12 @@ def test_rows_of_cases_are_never_broadcast(spark, monkeypatch):
     assert not [p for label, p in plans if label == "arcs" and "BroadcastHashJoin [other" in p]
     assert not [p for label, p in plans if label == "relevant" and "BroadcastHashJoin [case_id#" in p and "LeftSemi" in p.split("BroadcastHashJoin [case_id#")[1].split("\n")[0]]
     assert table.count() > 0
+
+
+def test_roots_of_words_are_never_broadcast(spark, monkeypatch):
+    plans = recorded(monkeypatch)
+    docs = spark.createDataFrame([(i, "letters letterss lettters " + "letters " * 30) for i in range(20)], "doc_id long, text string")
+    out = spelling.variants(docs)
+    steps = [p for _, p in plans if "beyond" in p] + [plan(out)]
+    assert len(steps) > 1 and not [p for p in steps if "BroadcastHashJoin" in p]
+    assert out.filter("root = 'letters'").count() > 1
